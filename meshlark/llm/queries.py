@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshlark.llm import quality_rules
+from meshlark.llm import mixing, quality_rules, sharding, telephony
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, telephony, mixing, sharding)
 
 
 def queries() -> dict:
