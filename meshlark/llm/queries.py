@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshlark.llm import mixing, near_dedup, quality_rules, sharding, telephony
+from meshlark.llm import mixing, near_dedup, pieces, quality_rules, sharding, telephony
 
-_MODULES = (quality_rules, telephony, near_dedup, mixing, sharding)
+_MODULES = (quality_rules, telephony, pieces, near_dedup, mixing, sharding)
 
 
 def queries() -> dict:
