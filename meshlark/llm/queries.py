@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshlark.llm import line_dedup, mixing, near_dedup, pieces, quality_rules, sharding, telephony
+from meshlark.llm import line_dedup, mixing, near_dedup, pieces, quality_rules, sharding, telephony, url_filter
 
-_MODULES = (quality_rules, telephony, pieces, line_dedup, near_dedup, mixing, sharding)
+_MODULES = (url_filter, quality_rules, telephony, pieces, line_dedup, near_dedup, mixing, sharding)
 
 
 def queries() -> dict:
