@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshlark.llm import importance, line_dedup, mixing, near_dedup, pieces, quality_rules, sharding, telephony, url_filter
+from meshlark.llm import importance, line_dedup, mixing, near_dedup, pieces, pitman_yor, quality_rules, sharding, telephony, url_filter
 
-_MODULES = (url_filter, importance, quality_rules, telephony, pieces, line_dedup, near_dedup, mixing, sharding)
+_MODULES = (url_filter, pitman_yor, importance, quality_rules, telephony, pieces, line_dedup, near_dedup, mixing, sharding)
 
 
 def queries() -> dict:
