@@ -39,7 +39,7 @@ SELECT o_orderkey AS id,
        CAST(50+(o_orderkey*69621)%1950   AS DOUBLE)         AS vcirc,
        CAST(128+(o_orderkey*40692)%3072  AS DOUBLE)/128.0e0 AS conc,
        CAST((o_orderkey*39373)%256       AS DOUBLE)/1024.0e0 AS xoff,
-       CAST((o_orderkey*16807)%256       AS DOUBLE)/1024.0e0 AS lambda,
+       CAST((o_orderkey*16807)%256       AS DOUBLE)/1024.0e0 AS spin,
        CAST((o_orderkey*45991)%512       AS DOUBLE)/256.0e0 AS virrat,
        (o_orderkey*5) % 4 = 0 AS is_sub
 FROM orders""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshlark.plans import fixtures, join_queries, mesh_queries
+from meshlark.plans import catalog_queries, fixtures, join_queries, mesh_queries
 
-__all__ = ["join_queries", "mesh_queries", "oracle_sql", "queries"]
+__all__ = ["catalog_queries", "join_queries", "mesh_queries", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
