@@ -47,7 +47,7 @@ def rake(cells: DataFrame, tempers: dict[str, float] = TEMPERS, rounds: int = RO
         if given is None:
             side = side.withColumn("__s", F.pow("__w", F.lit(float(power))))
         else:
-            side = side.withColumn("__s", F.coalesce(F.get(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(d)) if given else F.lit(None), F.lit(0.0)))
+            side = side.withColumn("__s", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(d)), F.lit(0.0)))
         norm = side.agg(F.sum("__s").alias("__n"))
         side = side.crossJoin(F.broadcast(norm)).select(d, (F.col("__s") / F.col("__n")).alias(f"__t_{d}"))
         out = out.join(side, d, "left")

@@ -7,7 +7,7 @@ the other cells of the sweep before (the usual approximation of parallel sampler
 text's score is the log10 probability of its words and end, with predictive probabilities averaged over SAMPLES sweeps.
 
   cells of one customer have one table; cells of up to EXACT customers are drawn from the exact conditional, by
-  generalised Stirling numbers; larger ones from a normal approximation around its mode.
+  generalised Stirling numbers; larger ones from the balance of tables that open and close, which approaches it.
 
 Distribution: all cells of a word lie in one shard, by the word's hash.  Counts are gathered before they are shuffled,
 as sorted and compressed arrays, and so are the requests of the texts to be scored: distinct (word, context, text)
@@ -37,6 +37,8 @@ CONTEXTS = 1 << CONTEXT_BITS
 END = np.uint64(0x5851F42D4C957F2D)
 SWEEPS, SAMPLES = 4, 2
 EXACT = 96
+#: Numbers of tables that are listed for larger cells whose mode is well below.
+LISTED = 64
 STRENGTH = 1.0
 #: Tokens that a task holds before it passes them on.
 HELD = 3 << 20
@@ -287,21 +289,48 @@ def draw_tables(n: np.ndarray, base: np.ndarray, others: np.ndarray, discount: f
             weight = stirling[c, 1 : c + 1] + np.cumsum(more, axis=1) + np.arange(1, c + 1) * np.log(base[own])[:, None]
             out[own] = 1 + np.argmax(weight + random.gumbel(size=weight.shape), axis=1)
     large = order[bound[EXACT - 1] :]
-    if len(large):
-        c, rate = n[large].astype(np.float64), base[large]
-        mean, share = single_rate(discount)
-        low, high = np.ones(len(c)), c.copy()
-        for _ in range(40):  # the number of tables at which as many close as open
-            t = (low + high) / 2
-            opens = (strength + discount * (others[large] + t)) * rate
-            closing = np.interp(np.log(c / t), np.log(mean), share) * t / c
-            rising = opens / (c - discount * t + opens) > closing
-            low, high = np.where(rising, t, low), np.where(rising, high, t)
-        t = low + np.sqrt(np.maximum(low * (1 - low / c), 0.0)) * random.standard_normal(len(c))
-        out[large] = np.clip(np.rint(t), 1, n[large])
+    for at in range(0, len(large), 1 << 13):
+        own = large[at : at + (1 << 13)]
+        out[own] = _draw_large(n[own].astype(np.float64), base[own], others[own], discount, strength, random)
     return out
 
 
+def _draw_large(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, random: np.random.Generator) -> np.ndarray:
+    """Tables of cells too large for exact conditionals, from the balance of tables that open and close.
+
+    A customer is alone at its table with probability about q(c / t) (t - 1) / (c - 1), q being the share of tables with
+    one customer among tables of that mean size; this gives the ratio of the probabilities of t + 1 and t tables.
+    """
+    mean, share = single_rate(discount)
+    log_mean = np.log(mean)
+
+    def alone(t: np.ndarray, own=slice(None)) -> np.ndarray:
+        return np.interp(np.log(c[own, None] / t), log_mean, share) * (t - 1) / (c[own, None] - 1)
+
+    def log_ratio(t: np.ndarray, own=slice(None)) -> np.ndarray:
+        opens = (strength + discount * (others[own, None] + t)) * base[own, None]
+        closes = np.maximum(alone(t + 1, own) * (c[own, None] - 1 - discount * t), 1e-300)
+        return np.log(np.maximum(1 - alone(t, own), 1e-300) * opens) - np.log(closes)
+
+    low, high = np.ones((len(c), 1)), c[:, None] - 1
+    for _ in range(40):
+        t = (low + high) / 2
+        rising = log_ratio(t) > 0
+        low, high = np.where(rising, t, low), np.where(rising, high, t)
+    mode = low[:, 0]
+    out = np.empty(len(c))
+    few = np.flatnonzero(mode < LISTED / 3)
+    steps = np.arange(1, LISTED)[None, :].astype(float)
+    weight = np.concatenate([np.zeros((len(few), 1)), np.cumsum(log_ratio(steps, few), axis=1)], axis=1)
+    out[few] = 1 + np.argmax(weight + random.gumbel(size=weight.shape), axis=1)
+    many = np.flatnonzero(mode >= LISTED / 3)
+    step = np.maximum(mode[many, None] * 0.05, 1.0)
+    slope = (log_ratio(np.minimum(mode[many, None] + step, c[many, None] - 1), many) - log_ratio(mode[many, None] - step, many)) / (2 * step)
+    spread = np.sqrt(1 / np.maximum(-slope[:, 0], 1e-12))
+    out[many] = mode[many] + spread * random.standard_normal(len(many))
+    return np.clip(np.rint(out), 1, c).astype(np.int64)
+
+
 class Totals:
     """What shards know of each other: by context, customers and tables; of the parent, customers, tables, base."""
 
