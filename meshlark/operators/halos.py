@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meshlark.functions import cosmology
 from meshlark.operators import rangejoin as R
@@ -129,12 +130,12 @@ def axis_ratios(sums: DataFrame) -> DataFrame:
     return sums.select("halo", *names).mapInPandas(run, "halo long, ba double, ca double")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def concentration_of(v_ratio: pd.Series) -> pd.Series:
     return pd.Series(cosmology.concentration(v_ratio.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mass_ratio_at(conc: pd.Series, ratio: pd.Series) -> pd.Series:
     """The mass at another overdensity, over the mass at one's own."""
     out = np.ones(len(conc))

@@ -146,7 +146,7 @@ def cubic_root(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     root = np.sqrt(np.maximum(inner, 0))
     one = np.cbrt(-q / 2 + np.where(q < 0, root, -root))
     one = np.where(one != 0, one - p / (3 * np.where(one != 0, one, 1)), 0)
-    r = np.sqrt(np.maximum(-p / 3, 1e-300))
+    r = np.sqrt(np.maximum(-p / 3, 1e-60))
     three = 2 * r * np.cos(np.arccos(np.clip(-q / 2 / r**3, -1, 1)) / 3)
     return np.where(inner >= 0, one, three)
 
