@@ -41,7 +41,7 @@ EXACT = 96
 LISTED = 64
 STRENGTH = 1.0
 #: Tokens that a task holds before it passes them on.
-HELD = 3 << 20
+HELD = 2 << 20
 SLICES = 64
 
 
@@ -167,15 +167,18 @@ def gather_counts(docs: DataFrame, shards: int) -> DataFrame:
 
 def cells_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, and the word's place, context and customers of each cell, in order."""
-    words, places, contexts, counts = [], [], [], []
+    words, contexts, counts = [], [], []
     for blob in blobs:
         w, per, low, high, n = unpack(blob)
         words.append(np.repeat(w, per))
         contexts.append(low.astype(np.int64) | high.astype(np.int64) << 16)
         counts.append(n.astype(np.int64))
     distinct, place = ranked(np.concatenate(words))
-    places = place << CONTEXT_BITS | np.concatenate(contexts)
-    key, n = summed(places, np.concatenate(counts))
+    del words
+    place <<= CONTEXT_BITS
+    place |= np.concatenate(contexts)
+    del contexts
+    key, n = summed(place, np.concatenate(counts))
     return distinct, key >> CONTEXT_BITS, key & (CONTEXTS - 1), n
 
 
@@ -488,7 +491,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     def answers(known: dict, blob: bytes) -> tuple:
         delta, flags, word, per, low, high, per_cell, doc, times = unpack(blob)
         n_docs = len(delta)
-        if "place" in known:
+        if known:
             at = np.searchsorted(known["word"], word)
             at = np.minimum(at, len(known["word"]) - 1)
             here = known["word"][at] == word
@@ -497,19 +500,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
         context = low.astype(np.int64) | high.astype(np.int64) << 16
         row = np.repeat(np.arange(len(word)), per)
         chance = np.zeros(len(row))
-        if "place" in known:
+        if known:
             key = at[row] << CONTEXT_BITS | context
             cell = np.minimum(np.searchsorted(known["key"], key), len(known["key"]) - 1)
             hit = here[row] & (known["key"][cell] == key)
         for k, (t, back, over) in enumerate(shared.value):
             none = t.root(np.zeros(1), np.zeros(1))[0]
-            root = np.where(here, known["root"][k][at], none) if "place" in known else np.full(len(word), none)
+            root = np.where(here, known["root"][k][at], none) if known else np.full(len(word), none)
             p = back[context] * root[row]
-            if "place" in known:
+            if known:
                 p[hit] += known["seats"][k][cell[hit]]
             chance += p * over[context]
         log10 = np.log10(chance / len(shared.value))
-        seen = np.where(here, known["total"][at], 0) if "place" in known else np.zeros(len(word))
+        seen = np.where(here, known["total"][at], 0) if known else np.zeros(len(word))
         base = np.log10((seen + 0.1) / (n_train + 0.1 * (n_words + 1)))
         entry = np.repeat(np.arange(len(row)), per_cell)
         times = times.astype(np.float64)
@@ -527,8 +530,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                 if kind == 0:
                     word, total, per, low, high, many = unpack(blob)
                     place = np.repeat(np.arange(len(word)), per)
-                    known = {"word": word, "total": total, "place": place, "key": place << CONTEXT_BITS | low.astype(np.int64) | high.astype(np.int64) << 16,
-                             "many": np.unpackbits(many, count=len(place)).astype(bool), "root": [], "seats": []}
+                    key = place << CONTEXT_BITS
+                    key |= low.astype(np.int64) | high.astype(np.int64) << 16
+                    known = {"word": word, "total": total, "key": key, "many": np.unpackbits(many, count=len(place)).astype(bool), "root": [], "seats": []}
+                    del place, low, high
                 elif kind < 9:
                     once, at, _, n, t, root = unpack(blob)
                     totals = shared.value[kind - 1][0]
@@ -566,7 +571,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Learns from the rows whose crc32 of the id, as text, isn't divisible by 10, and scores all rows."""
     held = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     own = docs.select(F.col(key), F.col(text).alias("text"), held.alias("held"), (~held).alias("learned"))
-    shards = max(4, input_partitions(docs) // 2)
+    shards = max(4, input_partitions(docs))
     model = fit(own, shards)
     scored = score(own, model, key)
     return scored.withColumn("train_tokens", F.lit(model.numbers[0]).cast("long"))
