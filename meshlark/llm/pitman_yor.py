@@ -232,7 +232,7 @@ def build(counts: DataFrame, shards: int) -> DataFrame:
             yield rows_of([("model", shard, model), ("state", shard, state), ("numbers", shard, numbers)])
         yield rows_of(list(slices("contexts", customers, singles)))
 
-    spread = counts.repartition(shards, "shard").sortWithinPartitions("shard")
+    spread = counts.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
     return spread.mapInArrow(run, "kind string, shard long, blob binary")
 
 
@@ -486,7 +486,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     for kind, part in parts:
         rows = part.join(F.broadcast(where), "shard").select("slot", F.lit(kind).alias("kind"), F.lit(-1).cast("long").alias("flush"), "blob")
         wanted = wanted.unionByName(rows)
-    wanted = wanted.repartition(n_slots, "slot").sortWithinPartitions("slot", "kind", "flush")
+    wanted = wanted.repartitionById(n_slots, F.col("slot").cast("int")).sortWithinPartitions("slot", "kind", "flush")
 
     def answers(known: dict, blob: bytes) -> tuple:
         delta, flags, word, per, low, high, per_cell, doc, times = unpack(blob)
