@@ -41,6 +41,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of narrow tables (64 bytes at most) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written or checkpointed table of narrow rows, to be broadcast if its counted size allows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))

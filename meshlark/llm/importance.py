@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import materialize, mix, scan_words, table, utf8
+from meshlark.llm._common import bounded, materialize, mix, scan_words, table, utf8
 
 BUCKETS = 1 << 14
 KEEP = 0.8
-#: Labelled ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -122,9 +120,8 @@ def kth_largest(df: DataFrame, column: str, k: int, few: int = 1 << 16, bins: in
 def resample(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: str = "text", keep: float = KEEP) -> DataFrame:
     """(key, log_weight, score, kept); target_ids has the key of the rows that stand for the target."""
     ids = materialize(target_ids.select(F.col(key).alias("__id")).where("__id IS NOT NULL").distinct())
-    small = ids.count() <= BROADCAST_ROWS
     own = docs.select(F.col(key), F.col(text).alias("text"))
-    marked = own.join((F.broadcast(ids) if small else ids).withColumn("target", F.lit(True)), own[key] == F.col("__id"), "left")
+    marked = own.join(bounded(ids).withColumn("target", F.lit(True)), own[key] == F.col("__id"), "left")
     ratio = log_ratio(count_models(marked))
     scored = materialize(log_weights(own, ratio, key).withColumn("score", F.col("log_weight") + gumbel(F.col(key))))
     least = kth_largest(scored, "score", round(keep * scored.count()))

@@ -27,21 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import WORD, materialize, table
+from meshlark.llm._common import WORD, bounded, materialize, table
 
 MIN_CHARS = 10
 BLOCKS = 8
-#: Rows of at most 64 bytes that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 
 LINE = ("h1", "h2")
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df (a written table of narrow rows), to be broadcast if its counted size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.lit("text"), text)
 

@@ -24,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import checkpoint_dir, cut, materialize, mix, scan_words, spread, table, utf8
+from meshlark.llm._common import bounded, checkpoint_dir, cut, materialize, mix, scan_words, spread, table, utf8
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Members of a bucket that one task row compares at once: left against right.
 LEFT, RIGHT = 64, 256
-#: Rows of wanted (node, group) that may be broadcast: at most 64 bytes each.  More are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _K = np.uint64(0xA0761D6478BD642F)
@@ -151,9 +149,7 @@ def compare(docs: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
     docs: (node, text), a row a distinct text or more.  A pair that the group's links already connect is passed over.
     Memory: a group's shingles; a group has at most LEFT + RIGHT nodes.
     """
-    wanted = materialize(wanted)
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "node")
+    texts = docs.join(bounded(materialize(wanted)), "node")
     rows = spread(texts, "group").sortWithinPartitions("group", "side", "node").select("group", "side", "node", "text")
 
     def links(group: list[tuple[int, bytes, np.ndarray]]) -> Iterator[tuple[bytes, bytes]]:
@@ -259,7 +255,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     named = docs.select(F.col(key), node(F.col(text)).alias("node"))
     named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named)
-    least_id = named.groupBy("root").agg(F.min(key).alias("class_id"))
+    least_id = cut(named.groupBy("root").agg(F.min(key).alias("class_id")))  # apart, so that AQE may split the join's large classes
     return named.join(least_id, "root").select(key, "node", "class_id", F.col(key).eqNullSafe(F.col("class_id")).alias("kept"))
 
 
