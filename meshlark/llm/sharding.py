@@ -68,7 +68,9 @@ def directory(assigned: DataFrame) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """Writes docs as Parquet, a folder a shard, and returns the assignment."""
     assigned = cut(assign(docs, key, text, limit))
-    placed = docs.join(assigned.select(key, "shard").distinct(), key)
+    of = assigned.select(F.col(key).alias("__key"), "shard").distinct()
+    own = docs.select(*[c for c in docs.columns if c.lower() != "shard"])
+    placed = own.join(of, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")  # rows without an id have a shard, too
     placed.repartition(F.col("shard")).write.partitionBy("shard").parquet(path)
     return assigned
 

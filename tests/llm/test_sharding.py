@@ -44,3 +44,12 @@ def test_written_shards_hold_every_row(spark, tmp_path, awkward, nothing, clashi
     back = spark.read.parquet(path)
     assert back.count() == awkward.where("doc_id IS NOT NULL").count()
     assert H.assign(nothing).count() == 0 and H.assign(clashing(awkward)).count() == awkward.count()
+
+
+def test_written_shards_hold_rows_without_an_id(spark, tmp_path, awkward, clashing):
+    path = str(tmp_path / "shards")
+    assigned = H.write_shards(awkward, path, limit=5000)
+    back = spark.read.parquet(path)
+    assert (back.count(), back.where("doc_id IS NULL").count()) == (awkward.count(), 1) and assigned.count() == awkward.count()
+    H.write_shards(clashing(awkward), f"{path}-clashing", limit=5000)
+    assert spark.read.parquet(f"{path}-clashing").count() == awkward.count()
