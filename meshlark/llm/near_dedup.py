@@ -4,8 +4,10 @@
 2. A node's five-word shingles with their counts as weights are sketched by ProbMinHash: every shingle is a Poisson
    process whose rate is its weight; each arrival hits a random slot, a slot keeps its earliest arrival, and a process
    ends as soon as its next arrival is later than all slots' (early termination).  Two sketches agree in a slot with the
-   probability Jaccard similarity of the weighted shingles.
-3. BANDS keys of ROWS slots each put nodes into buckets.  In a bucket all members are compared with its centre, the
+   probability Jaccard similarity of the weighted shingles.  A node that repeats shingles is sketched with unit weights,
+   too, which is all there is to sketch of others: by these two nodes agree with their similarity of distinct shingles,
+   the one that is verified, so repeated lines part no pair.
+3. BANDS keys of ROWS slots each, of each sketch, put nodes into buckets.  In a bucket all members are compared with its centre, the
    member with the most bucket company, and those that miss the centre with all other members, in blocks of bounded
    size: pairs are never emitted, only verified links, and no link between members of a bucket is lost.
 4. Verified: at least 0.8 of the distinct shingles of both are common.  Classes are the connected components.
@@ -116,18 +118,29 @@ def band_keys(owner: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """texts (node, text) to (node, bands); null bands for a text without words."""
+    """texts (node, text) to (node, bands); null bands for a text without words.
+
+    bands are those of the sketch with unit weights, then, if a shingle is repeated, those of the weighted one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for s, doc, n in shingles(batch.column(1)):
                 s, doc, weight = weighted(s, doc)
-                key = band_keys(prob_minhash(s, doc, weight.astype(np.float64), n, bands * rows), bands, rows)
+                key = band_keys(prob_minhash(s, doc, np.ones(len(s)), n, bands * rows), bands, rows)
+                again = np.zeros(n, bool)
+                again[doc[weight > 1]] = True
+                own = again[doc]
+                at_again = (np.cumsum(again) - 1)[doc[own]]
+                more = band_keys(prob_minhash(s[own], at_again, weight[own].astype(np.float64), int(again.sum()), bands * rows), bands, rows)
+                both = np.concatenate([key, np.zeros_like(key)], axis=1)
+                both[again, bands:] = more
+                used = np.repeat(np.stack([np.ones(n, bool), again], axis=1), bands, axis=1)
                 some = np.zeros(n, bool)
                 some[doc] = True
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * bands, mask=np.append(~some, False))
-                keys = pa.ListArray.from_arrays(offsets, pa.array(key.ravel()))
+                offsets = np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~some, False)), pa.array(both[used]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), keys], ["node", "bands"])
                 at += n
 
@@ -201,7 +214,7 @@ def compare(docs: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
 def candidate_links(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Verified links (a, b) that connect all similar nodes of each bucket.  docs: (node, text)."""
     keyed = materialize(sketch(docs, bands, rows).where("bands IS NOT NULL"))
-    placed = keyed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
+    placed = keyed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode(F.array_distinct("bands")).alias("key"))
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     placed = materialize(placed.join(sizes, "key"))
     degree = placed.groupBy("node").agg(F.sum("size").alias("degree"))

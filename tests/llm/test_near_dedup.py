@@ -98,3 +98,12 @@ def test_awkward_rows(awkward, nothing, clashing):
     kept = D.filter_documents(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 7, 8, 9, 10, 11, 12]
     assert D.classes(nothing).count() == 0
+
+
+def test_repeated_lines_part_no_pair(spark):
+    """A line repeated 300 times leaves the distinct shingles alike (500 of 512) but not the weighted ones."""
+    texts = [prose(i, 504) for i in range(5)]
+    line = " ".join(f"pad{j}" for j in range(12))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + ("\n" + line) * 300) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["class_id"] for x in D.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {i: i % 100 for i, _ in rows}
