@@ -6,7 +6,7 @@ the largest ratio, is the probability with which each of its documents is kept,
 has the target marginals in expectation and no document is repeated.
 
 Cases: null in a dimension is a value of its own; null or empty texts weigh nothing, and documents of cells without
-weight are kept with the largest ratio, 1.  Repeated rows share their id's draw.  Columns that clash with this
+weight are kept with the largest ratio, 1.  Repeated rows share their id's draw; a row without an id draws by its text.  Columns that clash with this
 operator's outputs are replaced.  An empty table gives an empty result.
 """
 
@@ -76,23 +76,28 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], weight: Column, key: str = "doc_id", tempers: dict[str, float] = TEMPERS, rounds: int = ROUNDS) -> DataFrame:
-    """docs with the dimensions, weight, probability and kept."""
+def mix(docs: DataFrame, dims: dict[str, Column], weight: Column, key: str = "doc_id", tempers: dict[str, float] = TEMPERS, rounds: int = ROUNDS, instead: Column | None = None) -> DataFrame:
+    """docs with the dimensions, weight, probability and kept.
+
+    Each row draws by its key, or by instead (the empty string if that is null, too) where it has none.
+    """
     own = [c for c in docs.columns if c.lower() not in {*dims, "weight", "probability", "kept"} or c in dims]
-    held = docs.select(*own).withColumn("weight", weight).withColumns({d: F.coalesce(c.cast("string"), F.lit(NONE)) for d, c in dims.items()})
+    draw = uniform(F.coalesce(F.col(key).cast("string"), F.lit(None).cast("string") if instead is None else instead, F.lit("")))
+    held = docs.select(*own, draw.alias("__draw")).withColumn("weight", weight).withColumns({d: F.coalesce(c.cast("string"), F.lit(NONE)) for d, c in dims.items()})
     cells = cut(held.groupBy(*dims).agg(F.sum("weight").alias("weight")))
     raked = rake(cells, tempers, rounds).withColumn("__r", F.when(F.col("weight") > 0, F.col("calibrated") / F.col("weight")))
     top = raked.agg(F.max("__r").alias("__top"))
     odds = raked.crossJoin(F.broadcast(top)).select(*dims, F.coalesce(F.col("__r") / F.col("__top"), F.lit(1.0)).alias("probability"))
     return (
         held.join(odds, list(dims))
-        .withColumn("kept", uniform(F.col(key)) < F.col("probability"))
+        .withColumn("kept", F.col("__draw") < F.col("probability"))
+        .drop("__draw")
         .withColumns({d: F.when(F.col(d) != NONE, F.col(d)) for d in dims})
     )
 
 
 def document_mixture(docs: DataFrame) -> DataFrame:
-    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(n_tokens(F.col("text")))}, n_tokens(F.col("text")))
+    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(n_tokens(F.col("text")))}, n_tokens(F.col("text")), instead=F.md5(F.col("text")))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

@@ -43,3 +43,10 @@ def test_awkward_rows(awkward, nothing, clashing):
     assert X.filter_documents(docs).columns == docs.columns
     assert X.document_mixture(nothing).count() == 0
     assert not re.search("Python|Pandas|Arrow", X.document_mixture(awkward)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rows_without_an_id_are_drawn(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 2 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, "big").otherwise("small").alias("source"), F.lit("en").alias("lang"), F.concat(F.lit("one two "), F.col("id")).alias("text"))
+    rows = X.document_mixture(df).where("doc_id IS NULL").groupBy("source").agg(F.avg("probability").alias("p"), F.avg(F.col("kept").cast("int")).alias("kept"), F.count("kept").alias("n"), F.count("*").alias("all")).collect()
+    assert len(rows) == 2 and all(r["n"] == r["all"] and abs(r["p"] - r["kept"]) < 4 * (0.25 / r["n"]) ** 0.5 for r in rows)
+    assert X.filter_documents(df).where("doc_id IS NULL").count() == sum(round(r["kept"] * r["n"]) for r in rows)
