@@ -34,8 +34,8 @@ SEEDS = (
 ).split()
 
 LONGEST_WORD = 20
-#: A seed word counts as often as this in the dictionary, as the pages' texts may lack it.
-SEED_COUNT = 50
+#: A seed word has at least this share of the dictionary, whatever its size, as the pages' texts may lack it.
+SEED_SHARE = 5e-5
 SMOOTHING = 0.5
 
 
@@ -69,10 +69,10 @@ def names(part: Column) -> Column:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, count) over the texts of all pages, without tags, and the seeds."""
+    """(word, count) over the texts of all pages, without tags, and the seeds, of count 0 where the texts lack them."""
     text = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?s)<(?:script|style)\b.*?</|<[^>]*>|&[a-z]+;", " ")
     found = pages.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST_WORD))
-    seeds = pages.sparkSession.createDataFrame([(w, SEED_COUNT) for w in SEEDS], "word string, count long")
+    seeds = pages.sparkSession.createDataFrame([(w, 0) for w in SEEDS], "word string, count long")
     return found.groupBy("word").count().unionByName(seeds).groupBy("word").agg(F.sum("count").alias("count"))
 
 
@@ -94,8 +94,8 @@ def viterbi(name: str, score: dict[str, float], unknown: float) -> list[str]:
 
 
 def segment(distinct: DataFrame, counts: DataFrame) -> DataFrame:
-    """(name, words) of distinct names (name), by the counts of words (word, count)."""
-    total = counts.agg(F.sum("count").cast("double").alias("total"))
+    """(name, words) of distinct names (name), by the counts of words (word, count); a seed has SEED_SHARE at least."""
+    total = counts.agg(F.greatest(F.sum("count"), F.lit(1)).cast("double").alias("total"))
     counts = counts.crossJoin(F.broadcast(total))  # one row
     # every substring of a name up to the longest word, with its count where it is a word
     n = F.length("name")
@@ -103,7 +103,9 @@ def segment(distinct: DataFrame, counts: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), n - i + 1)), lambda k: F.substring(F.col("name"), i, k)))
     )
     pieces = distinct.where("name != ''").select("name", F.explode(F.array_distinct(parts)).alias("word"))
-    known = pieces.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", (F.col("count") / F.col("total")).alias("p"))).alias("known"))
+    share = F.col("count") / F.col("total")
+    share = F.when(F.col("word").isin(*SEEDS), F.greatest(share, F.lit(SEED_SHARE))).otherwise(share)
+    known = pieces.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", share.alias("p"))).alias("known"))
     known = distinct.join(known, "name", "left").crossJoin(F.broadcast(total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

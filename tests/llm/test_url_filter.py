@@ -53,3 +53,14 @@ def test_awkward_rows(spark, clashing):
     df = pages(spark, [(None, "http://x.net/a", None), (0, URLS[0][0], None), (0, URLS[0][0], None), (200, "http://" + "a" * 3000 + ".net/", "x" * 100000)])
     assert U.judge(clashing(df)).count() == df.count()
     assert U.judge(df.limit(0)).count() == 0
+
+
+def test_seeds_stay_whole_at_any_size(spark):
+    """With the frequencies of por, n, d and ating as they are, a seed that the texts lack is not split as they grow."""
+    html = "<p>" + "por n d ating dat ing track er " * 5 + "filler " * 2000 + "</p>"
+    found = U.word_counts(spark.createDataFrame([(html,)], "html string")).collect()
+    names = spark.createDataFrame([("porn",), ("dating",), ("tracker",), ("filler",)], "name string")
+    for times in (1, 10**4, 10**8):
+        counts = spark.createDataFrame([(r["word"], r["count"] * (1 if r["word"] in U.SEEDS and r["word"] != "track" else times)) for r in found], "word string, count long")
+        got = {r["name"]: r["words"] for r in U.segment(names, counts).collect()}
+        assert got == {"porn": ["porn"], "dating": ["dating"], "tracker": ["tracker"], "filler": ["filler"]}, times
