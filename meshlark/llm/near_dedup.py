@@ -7,19 +7,24 @@
    probability Jaccard similarity of the weighted shingles.  A node that repeats shingles is sketched with unit weights,
    too, which is all there is to sketch of others: by these two nodes agree with their similarity of distinct shingles,
    the one that is verified, so repeated lines part no pair.
-3. BANDS keys of ROWS slots each, of each sketch, put nodes into buckets.  In a bucket all members are compared with its centre, the
-   member with the most bucket company, and those that miss the centre with all other members, in blocks of bounded
-   size: pairs are never emitted, only verified links, and no link between members of a bucket is lost.
+3. BANDS keys of ROWS slots each, of each sketch, put nodes into buckets.  In a bucket all members are compared with its
+   centre, the member with the most bucket company.  Components of these links come next, over all buckets; buckets that
+   lie in one component are done.  Another round of centres follows while a round leaves half as much to compare or less;
+   then the members outside a bucket's largest component are compared with all its members, in blocks of bounded size.
+   Pairs are never emitted, only verified links; similar members of a bucket always end in one component.
 4. Verified: at least 0.8 of the distinct shingles of both are common.  Classes are the connected components.
 
 Cases: null text is the empty text.  A text of one to four words is a single shingle; texts without words are alike only
-if equal.  Rows that repeat an id and a text are one document.  Null ids take part; a class is named by its smallest id.
-Very long texts are whole.  Columns that clash with outputs are replaced.  An empty table gives an empty result.
+if equal.  Rows that repeat an id and a text are one document.  Null ids take part; a class is named by its smallest id,
+null if it has none, and its document of that id (of several, the one of the smallest md5) stays.  Very long texts are
+whole.  classes returns its own columns alone; filter_documents returns docs' columns as they are, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Members of a bucket that one task row compares at once: left against right.
 LEFT, RIGHT = 64, 256
+#: Comparisons left for each row of the buckets below which another round of centres isn't worth its jobs.
+FEW_PAIRS = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _K = np.uint64(0xA0761D6478BD642F)
@@ -156,14 +163,14 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return common >= least * (small + large - common) - 1e-9
 
 
-def compare(docs: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
+def compare(texts: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
     """Links (a, b) within groups: wanted has (group, node, side); every left is compared with every right of its group.
 
-    docs: (node, text), a row a distinct text or more.  A pair that the group's links already connect is passed over.
-    Memory: a group's shingles; a group has at most LEFT + RIGHT nodes.
+    texts: (node, text), a row a node.  A pair that the group's links already connect is passed over.
+    Memory: a group's shingles; a group has about LEFT + RIGHT nodes at most.
     """
-    texts = docs.join(bounded(materialize(wanted)), "node")
-    rows = spread(texts, "group").sortWithinPartitions("group", "side", "node").select("group", "side", "node", "text")
+    placed = texts.join(bounded(materialize(wanted)), "node")
+    rows = spread(placed, "group").sortWithinPartitions("group", "side", "node").select("group", "side", "node", "text")
 
     def links(group: list[tuple[int, bytes, np.ndarray]]) -> Iterator[tuple[bytes, bytes]]:
         root = {n: n for _, n, _ in group}
@@ -202,8 +209,7 @@ def compare(docs: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
                         yield flush()
                         held = []
                     now = g
-                    if not held or held[-1][:2] != (side[at + i], name[at + i]):
-                        held.append((side[at + i], name[at + i], s[bound[i] : bound[i + 1]].copy()))
+                    held.append((side[at + i], name[at + i], s[bound[i] : bound[i + 1]].copy()))
                 at += n
         if held:
             yield flush()
@@ -211,36 +217,75 @@ def compare(docs: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def candidate_links(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Verified links (a, b) that connect all similar nodes of each bucket.  docs: (node, text)."""
+def buckets(docs: DataFrame, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (node, text): (key, node, degree) of the buckets with two nodes or more, and (node, text) of these nodes."""
     keyed = materialize(sketch(docs, bands, rows).where("bands IS NOT NULL"))
     placed = keyed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode(F.array_distinct("bands")).alias("key"))
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     placed = materialize(placed.join(sizes, "key"))
-    degree = placed.groupBy("node").agg(F.sum("size").alias("degree"))
-    ranked = placed.join(degree, "node")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("centre"))
-    placed = materialize(placed.join(centre, "key"))
-    stars = placed.where("node != centre").select("node", "centre").distinct()
-    # a star's rays in groups of at most about RIGHT, each with its centre
-    rays = stars.join(stars.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(RIGHT * 0.8)).alias("parts")), "centre")
-    rays = rays.withColumn("group", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    first = rays.select("group", "node", F.lit(1).alias("side")).unionByName(rays.select("group", F.col("centre").alias("node"), F.lit(0).alias("side")).distinct())
-    found = materialize(compare(docs, first, least))
-    missed = stars.join(found, (F.col("centre") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
-    # buckets in which a member missed the centre: such members against all others
-    missing = materialize(placed.where("size > 2 AND node != centre").join(missed, ["node", "centre"], "left_semi"))
-    counts = missing.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEFT * 0.8)).alias("lefts"))
-    others = placed.where("node != centre").join(counts, "key").withColumn("rights", F.ceil(F.col("size") / F.lit(RIGHT * 0.8)))
-    left = missing.join(counts, "key").withColumn("rights", F.ceil(F.col("size") / F.lit(RIGHT * 0.8)))
+    degree = materialize(placed.groupBy("node").agg(F.sum("size").alias("degree")))
+    # copies of a text meet in the aggregate's map side, so a row a text is moved
+    texts = docs.join(bounded(degree.select("node")), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return materialize(placed.join(degree, "node").select("key", "node", "degree")), materialize(texts)
+
+
+def star(state: DataFrame, turn: int) -> DataFrame:
+    """Wanted groups: each bucket's members outside its centre's component with the centre, in groups of about RIGHT.
+
+    state: (key, node, degree, root).  The centre is of the bucket's largest component: at first the node with the most
+    bucket company, in later turns another by hash.
+    """
+    rank = F.xxhash64(F.lit(turn), "node") if turn else F.col("degree")
+    size = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(rank.alias("rank"), "node")).alias("top"))
+    centre = size.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "top", "root")).alias("c")).where("parts > 1")
+    centre = centre.select("key", F.col("c.top.node").alias("centre"), F.col("c.root").alias("main"))
+    rays = materialize(state.join(centre, "key").where("root != main").select("node", "centre").distinct())
+    groups = rays.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(RIGHT * 0.8)).alias("groups"))
+    rays = rays.join(groups, "centre").withColumn("group", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("groups"))))
+    return rays.select("group", "node", F.lit(1).alias("side")).unionByName(rays.select("group", F.col("centre").alias("node"), F.lit(0).alias("side")).distinct())
+
+
+def blocks(state: DataFrame) -> DataFrame:
+    """Wanted groups: each bucket's members outside its largest component with all its members, in blocks of LEFT and RIGHT."""
+    size = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = size.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("size")).where("most < size")
+    mixed = mixed.select("key", "main", F.ceil((F.col("size") - F.col("most")) / F.lit(LEFT * 0.8)).alias("lefts"), F.ceil(F.col("size") / F.lit(RIGHT * 0.8)).alias("rights"))
+    held = materialize(state.join(mixed, "key"))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = left.withColumn("l", part("lefts")).withColumn("r", every("rights"))
-    right = others.withColumn("r", part("rights")).withColumn("l", every("lefts"))
-    second = left.select(F.xxhash64("key", "l", "r").alias("group"), "node", F.lit(0).alias("side")).unionByName(
+    left = held.where("root != main").withColumn("l", part("lefts")).withColumn("r", every("rights"))
+    right = held.withColumn("r", part("rights")).withColumn("l", every("lefts"))
+    return left.select(F.xxhash64("key", "l", "r").alias("group"), "node", F.lit(0).alias("side")).unionByName(
         right.select(F.xxhash64("key", "l", "r").alias("group"), "node", F.lit(1).alias("side"))
     )
-    return found.unionByName(materialize(compare(docs, second, least)))
+
+
+def pairs_left(state: DataFrame) -> int:
+    """Comparisons that blocks would make of state (key, node, root): members outside the largest component times members."""
+    size = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("most"))
+    return size.agg(F.sum((F.col("size") - F.col("most")) * F.col("size"))).first()[0] or 0
+
+
+def class_roots(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, root) of the nodes that have a link, by verified links that connect all similar nodes of each bucket.
+
+    docs: (node, text), copies or not.
+    """
+    placed, texts = buckets(docs, bands, rows)
+    few = FEW_PAIRS * placed.count()
+    found, roots, left = None, None, None
+    for turn in count():
+        state = placed.withColumn("root", F.col("node")) if roots is None else placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        state = materialize(state)
+        before, left = left, pairs_left(state)
+        if not left:
+            return roots if roots is not None else state.select("node", "root").limit(0)
+        last = before is not None and (left <= few or 2 * left > before)
+        more = materialize(compare(texts, blocks(state) if last else star(state, turn), least))
+        found = more if found is None else found.unionByName(more)
+        roots = components(found)
+        if last:
+            return roots
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,19 +309,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     """(key, node, class_id, kept) for every row of docs."""
     checkpoint_dir(docs.sparkSession)
     texts = docs.select(node(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    roots = components(candidate_links(texts, least))
+    roots = class_roots(texts, least)
     named = docs.select(F.col(key), node(F.col(text)).alias("node"))
-    named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = cut(named)
-    least_id = cut(named.groupBy("root").agg(F.min(key).alias("class_id")))  # apart, so that AQE may split the join's large classes
-    return named.join(least_id, "root").select(key, "node", "class_id", F.col(key).eqNullSafe(F.col("class_id")).alias("kept"))
+    named = cut(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "node")
+    first = cut(named.groupBy("root").agg(F.min(order).alias("first")))  # apart, so that AQE may split the join's large classes
+    kept = F.col(key).eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))
+    return named.join(first, "root").select(key, "node", F.col("first.id").alias("class_id"), kept.alias("kept"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, in docs' own columns."""
-    gone = classes(docs).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
+    gone = materialize(classes(docs).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct())
     marked = docs.withColumn("__own", node(F.col("text")))
-    return marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__node")), "left_anti").select(*docs.columns)
+    return marked.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__node")), "left_anti").select(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
