@@ -1,8 +1,9 @@
 """Meshes in long form (i, j, k, val), 1-based and periodic, and their exchange with particles.
 
-A particle touches the eight nodes around it: one row becomes eight, which are summed by node (deposit) or joined with the
-mesh and summed by particle (gather).  Both are a partial aggregate before a single shuffle; nothing depends on the order
-of rows.  Meshes are dense: range(n**3) gives the nodes that no particle touched.
+A particle touches the eight nodes around it.  To deposit, one row becomes eight, which are summed by node: a partial
+aggregate before a single shuffle.  To gather, the mesh is packed into blocks with one more layer of nodes, and a particle
+meets its block alone and reads eight values: blocks are broadcast while the mesh is small, else particles move once.
+Nothing depends on the order of rows.  Meshes are dense: range(n**3) gives the nodes that no particle touched.
 """
 
 from __future__ import annotations
@@ -39,11 +40,15 @@ def to_grid(points: DataFrame, box: float, n: int, a: float) -> DataFrame:
     return out.withColumns({f"v{c}": F.col(f"v{c}") / (100.0 * (box / n) / a) for c in AXES})
 
 
+def fold_axis(c: Column, n: int, times: Column) -> Column:
+    """A coordinate folded into 1/times of the box and stretched back to n cells."""
+    part = F.lit(float(n)) / times
+    return (c - 1 - F.floor((c - 1) / part) * part) * times + 1
+
+
 def fold(points: DataFrame, n: int, level: int) -> DataFrame:
     """Coordinates folded into 1/2**level of the box and stretched back to n cells."""
-    m = 1 << level
-    part = n / m
-    return points.withColumns({a: (F.col(a) - 1 - F.floor((F.col(a) - 1) / part) * part) * m + 1 for a in AXES})
+    return points.withColumns({a: fold_axis(F.col(a), n, F.lit(float(1 << level))) for a in AXES})
 
 
 def redshift_space(points: DataFrame, axis: int, factor: float, n: int) -> DataFrame:
@@ -53,16 +58,28 @@ def redshift_space(points: DataFrame, axis: int, factor: float, n: int) -> DataF
     return moved.withColumns({"x": F.col("z"), "z": F.col("x")}) if axis == 1 else moved.withColumns({"y": F.col("z"), "z": F.col("y")}) if axis == 2 else moved
 
 
-def corners(points: DataFrame, n: int) -> DataFrame:
-    """Each row of points eight times, with the node (i, j, k) and its trilinear weight w."""
-    low = {a: F.floor(F.col(a)).cast("int") for a in AXES}
-    side = {a: (F.when(low[a] > n, low[a] - n).otherwise(low[a]), F.when(low[a] + 1 > n, low[a] + 1 - n).otherwise(low[a] + 1)) for a in AXES}
-    share = {a: (1.0 - (F.col(a) - F.floor(a)), F.col(a) - F.floor(a)) for a in AXES}
-    nodes = [
-        F.struct(side["x"][p].alias("i"), side["y"][q].alias("j"), side["z"][r].alias("k"), (share["x"][p] * share["y"][q] * share["z"][r]).alias("w"))
-        for p in (0, 1) for q in (0, 1) for r in (0, 1)
-    ]
-    return points.select("*", F.inline(F.array(*nodes)))
+EIGHT = [(p, q, r) for p in (0, 1) for q in (0, 1) for r in (0, 1)]
+
+
+def corners(points: DataFrame, n: int, levels: tuple[int, ...] = ()) -> DataFrame:
+    """Each row of points eight times, with the node (i, j, k) and its trilinear weight w.
+
+    With levels, eight times for each, with coordinates folded that often and the level.  Literal offsets are exploded,
+    nodes and weights computed after, so that floors and fractions are evaluated once a row.
+    """
+    sides = F.array(*[F.struct(*[F.lit(x).alias(f"__o{a}") for x, a in zip(o, AXES, strict=True)]) for o in EIGHT])
+    held = points
+    if levels:
+        held = held.select("*", F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"))
+    at = {a: fold_axis(F.col(a), n, F.pow(F.lit(2.0), F.col("level"))) if levels else F.col(a) for a in AXES}
+    held = held.withColumns({f"__at{a}": at[a] for a in AXES})
+    held = held.withColumns({f"__lo{a}": F.floor(f"__at{a}").cast("int") for a in AXES})
+    held = held.withColumns({f"__fr{a}": F.col(f"__at{a}") - F.col(f"__lo{a}") for a in AXES})
+    out = held.select("*", F.inline(sides))
+    node = {c: wrap_node(F.col(f"__lo{a}") + F.col(f"__o{a}"), n).cast("int") for a, c in zip(AXES, CELL, strict=True)}
+    share = {a: F.when(F.col(f"__o{a}") == 0, 1.0 - F.col(f"__fr{a}")).otherwise(F.col(f"__fr{a}")) for a in AXES}
+    own = [*points.columns, *(["level"] if levels else [])]
+    return out.select(*own, *[v.alias(c) for c, v in node.items()], (share["x"] * share["y"] * share["z"]).alias("w"))
 
 
 def nodes(spark: SparkSession, n: int) -> DataFrame:
@@ -80,7 +97,7 @@ def deposit(points: DataFrame, n: int, weight: str | None = None) -> DataFrame:
     """(i, j, k, val): density contrast of points, or of their weights, by cloud-in-cell."""
     w = F.col("w") if weight is None else F.col("w") * F.col(weight)
     total = points.agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).cast("double").alias("total"))
-    sums = corners(points, n).groupBy(*CELL).agg(F.sum(w).alias("w"))
+    sums = corners(points.select(*AXES, *([] if weight is None else [weight])), n).groupBy(*CELL).agg(F.sum(w).alias("w"))
     return dense(sums, n).crossJoin(F.broadcast(total)).select(*CELL, (F.col("w") * (F.lit(float(n**3)) / F.col("total")) - 1).alias("val"))  # one row
 
 
@@ -92,10 +109,61 @@ def deposit_nearest(points: DataFrame, n: int) -> DataFrame:
     return dense(sums, n).crossJoin(F.broadcast(total)).select(*CELL, (F.col("w") * (F.lit(float(n**3)) / F.col("total")) - 1).alias("val"))
 
 
+#: Nodes of a mesh whose blocks are broadcast: at 8 bytes each and value, 17 MB a value.
+BROADCAST_NODES = 128**3
+#: Most cells of a block along an axis.
+BLOCK = 32
+
+
+def block_side(n: int, most: int = BLOCK) -> int:
+    """The largest divisor of n up to most: blocks of as many cells along an axis tile the mesh."""
+    return max(b for b in range(1, min(n, most) + 1) if n % b == 0)
+
+
+def packed(mesh: DataFrame, n: int, values: tuple[str, ...], side: int) -> DataFrame:
+    """(bi, bj, bk, and by value an array): blocks of side**3 cells with the layer of nodes behind them, in order.
+
+    A node is in its own block and, if it is a block's first along an axis, in the one ahead, too.  Nodes that a sparse
+    mesh lacks are 0.
+    """
+    held = mesh.select(*CELL, *values)
+    for c in CELL:
+        own = F.floor((F.col(c) - 1) / side).cast("int")
+        at = (F.col(c) - 1 - own * side).cast("int")
+        ahead = F.pmod(own - 1, F.lit(n // side)).cast("int")
+        both = F.array(F.struct(own.alias(f"b{c}"), at.alias(f"__{c}")), F.struct(ahead.alias(f"b{c}"), F.lit(side).alias(f"__{c}")))
+        held = held.select("*", F.inline(F.when(at == 0, both).otherwise(F.slice(both, 1, 1))))
+    width = side + 1
+    place = (F.col("__i") * width + F.col("__j")) * width + F.col("__k")
+    full = width**3
+    blocks = held.groupBy("bi", "bj", "bk").agg(F.collect_list(F.struct(place.alias("at"), *values)).alias("all"))
+    # a dense block is its nodes in order; of a sparse one the gaps are filled
+    filled = F.transform(F.sequence(F.lit(0), F.lit(full - 1)), lambda p: F.struct(p.alias("at"), *[F.lit(0.0).alias(v) for v in values]))
+    gaps = F.filter(filled, lambda x: ~F.array_contains(F.transform("all", lambda y: y["at"]), x["at"]))
+    every = F.array_sort(F.when(F.size("all") == full, F.col("all")).otherwise(F.concat(F.col("all"), gaps)))
+    return blocks.select("bi", "bj", "bk", every.alias("all")).select("bi", "bj", "bk", *[F.col("all").getField(v).alias(f"__{v}") for v in values])
+
+
+def at_points(points: DataFrame, mesh: DataFrame, n: int, values: dict[str, str]) -> DataFrame:
+    """points with the mesh's values at each, trilinear: values maps new columns to those of the mesh."""
+    side = block_side(n)
+    held = points.withColumns({f"__lo{a}": F.floor(a).cast("int") for a in AXES})
+    held = held.withColumns({f"__fr{a}": F.col(a) - F.col(f"__lo{a}") for a in AXES})
+    held = held.withColumns({f"b{c}": F.floor((wrap_node(F.col(f"__lo{a}"), n) - 1) / side).cast("int") for a, c in zip(AXES, CELL, strict=True)})
+    held = held.withColumns({f"__p{a}": F.pmod(wrap_node(F.col(f"__lo{a}"), n) - 1, F.lit(side)).cast("int") for a in AXES})
+    held = held.withColumn("__at", (F.col("__px") * (side + 1) + F.col("__py")) * (side + 1) + F.col("__pz"))
+    blocks = packed(mesh, n, tuple(dict.fromkeys(values.values())), side)
+    met = held.join(F.broadcast(blocks) if n**3 <= BROADCAST_NODES else blocks, ["bi", "bj", "bk"])
+    share = {a: (1.0 - F.col(f"__fr{a}"), F.col(f"__fr{a}")) for a in AXES}
+    weights = {o: share["x"][o[0]] * share["y"][o[1]] * share["z"][o[2]] for o in EIGHT}
+    step = {o: (o[0] * (side + 1) + o[1]) * (side + 1) + o[2] for o in EIGHT}
+    of = lambda v: sum((weights[o] * F.get(f"__{v}", F.col("__at") + step[o]) for o in EIGHT), F.lit(0.0))
+    return met.select(*points.columns, *[of(v).alias(name) for name, v in values.items()])
+
+
 def gather(points: DataFrame, mesh: DataFrame, n: int, value: str = "val", keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """(keys, dens): the mesh's value at each point, trilinear, plus one."""
-    own = corners(points.select(*keys, *AXES), n).select(*keys, *CELL, "w")
-    return own.join(mesh.select(*CELL, value), list(CELL)).groupBy(*keys).agg((F.sum(F.col("w") * F.col(value)) + 1).alias("dens"))
+    return at_points(points.select(*keys, *AXES), mesh, n, {"dens": value}).select(*keys, (F.col("dens") + 1).alias("dens"))
 
 
 def project(mesh: DataFrame, n: int) -> DataFrame:
@@ -194,7 +262,8 @@ def galaxies(points: DataFrame, mesh: DataFrame, peak_nodes: DataFrame, n: int,
     """The first point beside each peak, with from_peak, and a sample of the other dense points."""
     near = corners(points.select("id", *AXES), n).select("id", *CELL).join(peak_nodes.select(*CELL), list(CELL), "left_semi")
     first = near.groupBy(*CELL).agg(F.min("id").alias("id")).select("id").distinct().withColumn("from_peak", F.lit(True))
-    marked = points.join(gather(points, mesh, n), "id").join(first, "id", "left")
+    held = at_points(points, mesh, n, {"dens": "val"}).withColumn("dens", F.col("dens") + 1)
+    marked = held.join(first, "id", "left")
     ratio = F.lit(threshold) / F.col("dens")
     drawn = (F.col("dens") > threshold) & (hash01(F.col("id")) < fraction * F.sqrt(F.abs(1 - ratio)) * ratio)
     return marked.where(F.col("from_peak").isNotNull() | drawn).withColumn("from_peak", F.col("from_peak").isNotNull())
@@ -210,11 +279,7 @@ def bias_cells(mesh: DataFrame, n: int, least: float, amplitude: float, power: f
 def multi_mesh(points: DataFrame, n: int, levels: int) -> DataFrame:
     """Density contrasts of points folded 1..levels times, by level, in one pass."""
     total = points.agg(F.count(F.lit(1)).cast("double").alias("total"))
-    out = None
-    for level in range(1, levels + 1):
-        part = corners(fold(points, n, level), n).select(F.lit(level).alias("level"), *CELL, "w")
-        out = part if out is None else out.unionByName(part)
-    sums = out.groupBy("level", *CELL).agg(F.sum("w").alias("w"))
+    sums = corners(points.select(*AXES), n, tuple(range(1, levels + 1))).groupBy("level", *CELL).agg(F.sum("w").alias("w"))
     every = nodes(points.sparkSession, n).crossJoin(F.broadcast(points.sparkSession.range(1, levels + 1).select(F.col("id").cast("int").alias("level"))))
     full = every.join(sums, ["level", *CELL], "left").crossJoin(F.broadcast(total))
     return full.select("level", *CELL, (F.coalesce("w", F.lit(0.0)) * (F.lit(float(n**3)) / F.col("total")) - 1).alias("val"))

@@ -46,14 +46,14 @@ def tune(starts: list[float], steps: list[float], limit: float, count: int) -> t
 
 
 def forces(points: DataFrame, potential: DataFrame, n: int) -> DataFrame:
-    """(id, fx, fy, fz): minus the potential's gradient at each particle."""
-    own = M.corners(points.select("id", *M.AXES), n).select("id", *M.CELL, "w")
-    return own.join(M.gradient(potential, n), list(M.CELL)).groupBy("id").agg(*[(-F.sum(F.col("w") * F.col(f"g{a}"))).alias(f"f{a}") for a in M.AXES])
+    """points with fx, fy, fz: minus the potential's gradient at each."""
+    out = M.at_points(points, M.gradient(potential, n), n, {f"f{a}": f"g{a}" for a in M.AXES})
+    return out.withColumns({f"f{a}": -F.col(f"f{a}") for a in M.AXES})
 
 
 def move(points: DataFrame, potential: DataFrame, n: int, kick: float, drift: float, friction: float = 1.0) -> DataFrame:
     """Leapfrog: velocities first, then positions, wrapped."""
-    out = points.join(forces(points, potential, n), "id")
+    out = forces(points, potential, n)
     out = out.withColumns({f"v{a}": F.col(f"v{a}") * friction + kick * F.col(f"f{a}") for a in M.AXES})
     out = out.withColumns({a: M.wrap(F.col(a) + drift * F.col(f"v{a}"), n) for a in M.AXES})
     return out.drop(*[f"f{a}" for a in M.AXES])
