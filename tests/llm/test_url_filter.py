@@ -1,4 +1,6 @@
 import math
+import re
+from collections import Counter
 
 from meshlark.llm import url_filter as U
 
@@ -26,12 +28,53 @@ def test_hosts_paths_and_rules(spark):
         assert r["verdict"] in ("allow", "block")
 
 
-def test_words_of_spam_are_blocked(spark):
-    extra = [(100 + i, f"http://{h}.net/a/{i}", None) for i, h in enumerate(["cheap-pills", "casinowin", "freebets"] * 5 + ["morningpost", "riverside", "gardenclub"] * 20)]
-    words = [(900, None, "<p>" + "morning post river side garden club free " * 50 + "</p>")]
-    got = {r["page_id"]: r for r in U.judge(pages(spark, extra + words)).collect()}
-    assert {got[100 + i]["verdict"] for i in range(15)} == {"block"}
-    assert {got[100 + i]["verdict"] for i in range(15, 75)} == {"allow"}
+def tokens(host, path, split):
+    found = lambda x: re.findall("[a-z]+|0", re.sub("[0-9]+", "0", x.lower()))
+    return [(p, w) for p, part in (("h", host), ("p", path)) for name in found(part) for w in split[name]]
+
+
+def test_scores_and_verdicts_against_counters(spark):
+    """Multinomial naive Bayes by plain counting, learned from the urls that a rule decides."""
+    hosts = ["cheap-pills.com", "casinowin.com", "riverside.com", "www.riverside.org", "gardenclub.org", "freepillsfree.org", "casino.example.org", "win.example.org"]
+    paths = ["/de/cheap/1", "/fr/post/2", "/es/win/win/3", "/en/14", "/en/2", "/de/river/river"]
+    extra = [(100 + i, f"http://{h}{p}", None) for i, (h, p) in enumerate((h, p) for h in hosts for p in paths for _ in range(1 + len(h) % 3))]
+    extra += [(800 + i, f"http://{h}/{p}", None) for i, (h, p) in enumerate([("cheappills.net", "de"), ("riverclub.net", "fr/post"), ("neverseen.net", "")])]
+    text = [(900, None, "<p>" + "cheap pills casino win river side garden club free post " * 20 + "</p>")]
+    df = pages(spark, extra + text)
+    got = U.judge(df).collect()
+    names = sorted({n for r in got for n in re.findall("[a-z]+|0", re.sub("[0-9]+", "0", (r["host"] + " " + r["path"]).lower()))})
+    split = {r["name"]: r["words"] for r in U.segment(spark.createDataFrame([(n,) for n in names], "name string"), U.word_counts(df)).collect()}
+    assert split["cheappills"] == ["cheap", "pills"] and split["freepillsfree"] == ["free", "pills", "free"]
+    block, allow, docs = Counter(), Counter(), Counter()
+    for r in got:
+        if r["rule"]:
+            docs[r["verdict"]] += 1
+            (block if r["verdict"] == "block" else allow).update(tokens(r["host"], r["path"], split))
+    known = block.keys() | allow.keys()
+    log = lambda c, t: math.log((c[t] + 0.5) / (sum(c.values()) + 0.5 * len(known)))
+    prior = math.log((docs["block"] + 1) / (docs["allow"] + 1))
+    for r in got:
+        own = tokens(r["host"], r["path"], split)
+        want = prior + sum(log(block, t) - log(allow, t) for t in own if t in known) if own else -math.inf
+        assert r["score"] == want or abs(r["score"] - want) < 1e-9, r
+        if not r["rule"]:
+            assert r["verdict"] == ("block" if want > 0 else "allow")
+    verdict = {r["page_id"]: r["verdict"] for r in got}
+    assert (verdict[800], verdict[801]) == ("block", "allow")
+
+
+def test_frequent_and_rare_names_have_the_same_odds(spark, monkeypatch):
+    want = sorted(map(str, U.judge(pages(spark)).collect()))
+    for share in (0.0, 0.1, 2.0):
+        monkeypatch.setattr(U, "FREQUENT", share)
+        assert sorted(map(str, U.judge(pages(spark)).collect())) == want
+
+
+def test_words_of_any_length_are_in_the_dictionary(spark):
+    word = "antidisestablishmentarianism"
+    counts = spark.createDataFrame([(word, 5), ("an", 9), ("x" * 5000, 1)], "word string, count long")
+    split = {r["name"]: r["words"] for r in U.segment(spark.createDataFrame([("an" + word,), ("",)], "name string"), counts).collect()}
+    assert split == {"an" + word: ["an", word], "": []}
 
 
 def test_viterbi_is_the_best_split():
@@ -53,14 +96,3 @@ def test_awkward_rows(spark, clashing):
     df = pages(spark, [(None, "http://x.net/a", None), (0, URLS[0][0], None), (0, URLS[0][0], None), (200, "http://" + "a" * 3000 + ".net/", "x" * 100000)])
     assert U.judge(clashing(df)).count() == df.count()
     assert U.judge(df.limit(0)).count() == 0
-
-
-def test_seeds_stay_whole_at_any_size(spark):
-    """With the frequencies of por, n, d and ating as they are, a seed that the texts lack is not split as they grow."""
-    html = "<p>" + "por n d ating dat ing track er " * 5 + "filler " * 2000 + "</p>"
-    found = U.word_counts(spark.createDataFrame([(html,)], "html string")).collect()
-    names = spark.createDataFrame([("porn",), ("dating",), ("tracker",), ("filler",)], "name string")
-    for times in (1, 10**4, 10**8):
-        counts = spark.createDataFrame([(r["word"], r["count"] * (1 if r["word"] in U.SEEDS and r["word"] != "track" else times)) for r in found], "word string, count long")
-        got = {r["name"]: r["words"] for r in U.segment(names, counts).collect()}
-        assert got == {"porn": ["porn"], "dating": ["dating"], "tracker": ["tracker"], "filler": ["filler"]}, times
