@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where Spark runs in one JVM."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
 
@@ -35,10 +37,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table: columnar and compressed, for what is wide."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """Like cut, as a Parquet table: columnar and compressed, for what is wide.  It is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.parquet(path)
+
+
+def apart(docs: DataFrame, needed: tuple[str, ...], run) -> DataFrame:
+    """run(docs of the needed columns alone) with docs' columns: the others travel in one struct, whatever their names."""
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    rest = [c for c in docs.columns if c not in needed]
+    own = [c for c in docs.columns if c in needed]
+    out = run(docs.select(*own, F.struct(*([F.col(quoted(c)) for c in rest] or [F.lit(True)])).alias("__rest")))
+    return out.select(*[F.col(c) if c in own else F.col("__rest").getField(c).alias(c) for c in docs.columns])
 
 
 #: Rows of narrow tables (64 bytes at most) that may be broadcast; more are joined by a shuffle.

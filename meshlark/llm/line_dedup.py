@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join: native DataFrame operations only.
 
-A line of at least MIN_CHARS characters goes if it is a later copy of a line, or if some line that first occurs earlier
-is within one edit (insertion, deletion or substitution of a character).  Earlier: by (id, hash of text, line number).
+A line with a word goes if it is a later copy of a line, or if some line that first occurs earlier is within one edit
+(insertion, deletion or substitution of a character).  The bound is one edit for each NEAR_CHARS characters, one at most:
+of shorter lines an edit is over a tenth, so only their copies go.  Earlier: by (id, hash of text, line number).
 
 Equal lines are one line from the start.  Emitting a line's whole neighbourhood (the line without each of its
 characters) costs as many keys as it has characters, so the neighbourhood is narrowed first, which loses nothing: an edit
@@ -17,9 +18,9 @@ each other), or join a longer line to the one shorter line that is its variant.
 partner of its key finds whether it has an earlier partner: no pairs within a group are emitted.  Partners are verified
 by Levenshtein distance on the texts.
 
-Cases: null texts stay null, empty ones empty.  Shorter lines stay.  Repeated rows (same id, same text) are the same
-occurrence and keep the same lines.  Null ids come first.  A text of n characters costs n.  Columns of docs stay; outputs
-replace columns of their names.  An empty table gives an empty result.
+Cases: null texts stay null, empty ones empty.  Lines without a word stay.  Repeated rows (same id, same text) are the
+same occurrence and keep the same lines.  Null ids come first.  A text of n characters costs n.  dedup_lines replaces
+columns named n_lines or n_dropped; filter_documents keeps all columns as they are.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import WORD, bounded, materialize, table
+from meshlark.llm._common import WORD, apart, bounded, materialize, table
 
-MIN_CHARS = 10
+#: Characters of a line for each edit within which it is a near copy; one edit is looked for.
+NEAR_CHARS = 10
 BLOCKS = 8
 
 LINE = ("h1", "h2")
@@ -39,10 +41,10 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.lit("text"), text)
 
 
-def occurrences(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(id, th, no, line, n, h1, h2): each line of each document that takes part."""
+def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, th, no, line, n, h1, h2): each line with a word of each document."""
     lines = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), _text_hash(F.col(text)).alias("th"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("no", "line"))
-    return lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
+    return lines.withColumn("n", F.length("line")).where(F.col("line").rlike(WORD)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
 def _sub(line: Column, start: Column, length: Column) -> Column:
@@ -67,7 +69,7 @@ def shared(keyed: DataFrame, key: str) -> DataFrame:
     return keyed.join(bounded(twice), key)
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
     """(h1, h2) of the distinct lines (first, n, keys) that have an earlier line within one edit."""
     halves = distinct.select(*LINE, "first", F.inline("keys"))
     halves = materialize(shared(halves, "k"))
@@ -77,7 +79,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, min_ch
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), _text_hash(F.col(text)).alias("th")).where("text IS NOT NULL").alias("d")
     homes = bounded(homes).alias("h")
     held = own.join(homes, F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.th") == F.col("h.th")), "left_semi")
-    lines = occurrences(held, "id", "text", min_chars).select(*LINE, "line", "n").join(bounded(wanted), list(LINE))
+    lines = occurrences(held, "id", "text").select(*LINE, "line", "n").join(bounded(wanted), list(LINE))
     lines = materialize(lines.groupBy(*LINE).agg(F.first("line").alias("line"), F.first("n").alias("n"), F.first("first").alias("first")))
 
     at = halves.drop("first").join(lines, list(LINE)).withColumns({
@@ -117,10 +119,10 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, min_ch
     return verified.select(*LINE).distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """docs with text without the lines that go, n_lines and n_dropped (long)."""
     held = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
-    lines = occurrences(held, key, text, min_chars)
+    lines = occurrences(held, key, text)
     keyed = lines.withColumn("keys", _halves(F.col("line"), F.col("n")))
     distinct = materialize(
         keyed.select(*LINE, F.struct("id", "th", "no").alias("at"), *[F.col("keys")[i]["k"].alias(f"k{i}") for i in range(4)], "n")
@@ -128,7 +130,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         .agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
     )
     keys = F.array(*[F.struct(F.col(f"k{i}").alias("k"), (F.col("n") - i // 2).alias("m"), F.lit(i % 2).alias("b")) for i in range(4)])
-    near = materialize(near_lines(held, distinct.select(*LINE, "first", "n", keys.alias("keys")), key, text, min_chars).withColumn("near", F.lit(True)))
+    long = distinct.where(F.col("n") >= near_chars)
+    near = materialize(near_lines(held, long.select(*LINE, "first", "n", keys.alias("keys")), key, text).withColumn("near", F.lit(True)))
     doubtful = distinct.select(*LINE, "first", "copies").join(bounded(near), list(LINE), "left").where("copies > 1 OR near")
     gone = lines.select("id", "th", "no", *LINE).join(doubtful, list(LINE)).where(F.col("near").isNotNull() | (F.struct("id", "th", "no") != F.col("first")))
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("no").alias("__gone"))
@@ -145,10 +148,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """docs with the lines that stay and n_chars to match; a document of which no word is left goes."""
-    out = dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+
+    def run(own: DataFrame) -> DataFrame:
+        out = dedup_lines(own).where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
+        if "n_chars" in own.columns:
+            out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        return out
+
+    return apart(docs, ("doc_id", "text", "n_chars"), run)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,10 +164,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines_sql(docs: str) -> str:
     """Common table expressions over a relation named by docs; the last is ld (doc_id, text, n_lines, n_dropped)."""
-    return f"""
+    return rf"""
 ld_l AS (SELECT doc_id, l, i - 1 AS no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {docs}) q),
-ld_f AS (SELECT l, min((doc_id, no)) AS f, length(l) AS n FROM ld_l WHERE length(l) >= {MIN_CHARS} GROUP BY l),
-ld_n AS (SELECT DISTINCT a.l FROM ld_f a JOIN ld_f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.f < a.f AND levenshtein(a.l, b.l) <= 1),
+ld_f AS (SELECT l, min((doc_id, no)) AS f, length(l) AS n FROM ld_l WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY l),
+ld_n AS (SELECT DISTINCT a.l FROM ld_f a JOIN ld_f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.n >= {NEAR_CHARS} AND b.n >= {NEAR_CHARS} AND b.f < a.f AND levenshtein(a.l, b.l) <= 1),
 ld_k AS (SELECT x.doc_id, x.no, x.l, (f.l IS NULL OR ((x.doc_id, x.no) = f.f AND f.l NOT IN (SELECT l FROM ld_n))) AS kept FROM ld_l x LEFT JOIN ld_f f ON x.l = f.l),
 ld AS (SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY no) FILTER (kept), '') AS text, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (NOT kept) AS BIGINT) AS n_dropped FROM ld_k GROUP BY doc_id)
 """

@@ -1,4 +1,5 @@
 import random
+import re
 
 from meshlark.llm import line_dedup as L
 
@@ -14,20 +15,20 @@ def within_one(a, b):
     return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
 
 
-def brute(rows, least=L.MIN_CHARS):
+def brute(rows, least=L.NEAR_CHARS):
     """rows: (id, text) with unique ids in order."""
     first = {}
     for d, text in rows:
         for no, line in enumerate((text or "").split("\n")):
-            if len(line) >= least:
+            if re.search(r"[^\x20\x09-\x0D]", line):
                 first.setdefault(line, (d, no))
-    near = {a for a, f in first.items() if any(first[b] < f and a != b and within_one(a, b) for b in first)}
+    near = {a for a, f in first.items() if any(first[b] < f and a != b and min(len(a), len(b)) >= least and within_one(a, b) for b in first)}
     out = {}
     for d, text in rows:
         if text is None:
             out[d] = None
             continue
-        out[d] = "\n".join(x for no, x in enumerate(text.split("\n")) if len(x) < least or (first[x] == (d, no) and x not in near))
+        out[d] = "\n".join(x for no, x in enumerate(text.split("\n")) if x not in first or (first[x] == (d, no) and x not in near))
     return out
 
 
@@ -43,7 +44,7 @@ def edited(line, r):
 def test_against_all_pairs(spark):
     r = random.Random(5)
     base = ["".join(r.choice("abcde é") for _ in range(r.choice([10, 11, 12, 13, 20, 40, 41, 200]))) for _ in range(40)]
-    pool = base + [edited(x, r) for x in base for _ in range(3)] + [edited(edited(x, r), r) for x in base] + ["aaaaaaaaaaaa", "aaaaaaaaaaa", "aaaaaaaaaab"]
+    pool = base + [edited(x, r) for x in base for _ in range(3)] + [edited(edited(x, r), r) for x in base] + ["aaaaaaaaaaaa", "aaaaaaaaaaa", "aaaaaaaaaab", "", " ", "\t\r", "a", "b", "The a.", "The b.", "ninechars", "ninechars!", "ninechars?"]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 9)))) for i in range(120)]
     got = {x["doc_id"]: x["text"] for x in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
@@ -66,7 +67,8 @@ def test_awkward_rows(awkward, nothing, clashing):
     assert by[6]["text"] == "" and by[6]["n_dropped"] == 1  # both rows with id 6 copy row 1
     assert by[1]["n_dropped"] == 0 and by[9]["n_dropped"] == 0
     assert by[11]["n_lines"] == 41 and by[11]["n_dropped"] == 39
-    assert L.filter_documents(docs).columns == docs.columns
+    kept = L.filter_documents(docs)
+    assert kept.columns == docs.columns and {r["n_lines"] for r in kept.collect()} == {7}
     assert L.dedup_lines(nothing).count() == 0
 
 
