@@ -6,16 +6,19 @@ the largest ratio, is the probability with which each of its documents is kept,
 has the target marginals in expectation and no document is repeated.
 
 Cases: null in a dimension is a value of its own; null or empty texts weigh nothing, and documents of cells without
-weight are kept with the largest ratio, 1.  Repeated rows share their id's draw; a row without an id draws by its text.  Columns that clash with this
-operator's outputs are replaced.  An empty table gives an empty result.
+weight are kept with the largest ratio, 1.  Repeated rows share their id's draw; a row without an id draws by its text.
+mix replaces columns that have the names of its outputs; filter_documents keeps all columns as they are.  Targets that
+can't all be met are warned of, with the deviation left.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import SPACE, cut, table
+from meshlark.llm._common import apart, bounded, cut, materialize, table
 
 #: A marginal's target shares are its actual shares to this power, rescaled (1: as they are, 0: uniform).
 TEMPERS = {"source": 0.7, "lang": 0.8, "topic": 1.0}
@@ -57,8 +60,10 @@ def rake(cells: DataFrame, tempers: dict[str, float] = TEMPERS, rounds: int = RO
             sums = out.groupBy(d).agg(F.sum("calibrated").alias("__m"))
             out = out.join(sums, d).withColumn("calibrated", F.when(F.col("__m") > 0, F.col("calibrated") * (F.col(f"__t_{d}") * F.col("__total") / F.col("__m"))).otherwise(F.lit(0.0))).drop("__m")
         out = cut(out)
-        if off(out, tempers) <= TOLERANCE:
+        if (left := off(out, tempers)) <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"shares are off their targets by {left:.1e} at most after {rounds} rounds", stacklevel=2)
     return out.select(*tempers, "weight", "calibrated")
 
 
@@ -76,8 +81,8 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], weight: Column, key: str = "doc_id", tempers: dict[str, float] = TEMPERS, rounds: int = ROUNDS, instead: Column | None = None) -> DataFrame:
-    """docs with the dimensions, weight, probability and kept.
+def mix(docs: DataFrame, dims: dict[str, Column], weight: Column, key: str = "doc_id", tempers: dict[str, float] = TEMPERS, rounds: int = ROUNDS, instead: Column | None = None, targets: dict[str, dict] | None = None) -> DataFrame:
+    """docs with the dimensions, weight, probability and kept.  targets: as of rake.
 
     Each row draws by its key, or by instead (the empty string if that is null, too) where it has none.
     """
@@ -85,11 +90,11 @@ def mix(docs: DataFrame, dims: dict[str, Column], weight: Column, key: str = "do
     draw = uniform(F.coalesce(F.col(key).cast("string"), F.lit(None).cast("string") if instead is None else instead, F.lit("")))
     held = docs.select(*own, draw.alias("__draw")).withColumn("weight", weight).withColumns({d: F.coalesce(c.cast("string"), F.lit(NONE)) for d, c in dims.items()})
     cells = cut(held.groupBy(*dims).agg(F.sum("weight").alias("weight")))
-    raked = rake(cells, tempers, rounds).withColumn("__r", F.when(F.col("weight") > 0, F.col("calibrated") / F.col("weight")))
+    raked = rake(cells, tempers, rounds, targets).withColumn("__r", F.when(F.col("weight") > 0, F.col("calibrated") / F.col("weight")))
     top = raked.agg(F.max("__r").alias("__top"))
     odds = raked.crossJoin(F.broadcast(top)).select(*dims, F.coalesce(F.col("__r") / F.col("__top"), F.lit(1.0)).alias("probability"))
     return (
-        held.join(odds, list(dims))
+        held.join(bounded(materialize(odds)), list(dims))  # cells are few, so that texts needn't move
         .withColumn("kept", F.col("__draw") < F.col("probability"))
         .drop("__draw")
         .withColumns({d: F.when(F.col(d) != NONE, F.col(d)) for d in dims})
@@ -102,7 +107,7 @@ def document_mixture(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mixture samples, with docs' own columns."""
-    return document_mixture(docs).where("kept").select(*docs.columns)
+    return apart(docs, ("doc_id", "text", "source", "lang"), lambda own: document_mixture(own).where("kept"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,8 @@ def test_awkward_rows(awkward, nothing, clashing):
     docs = clashing(awkward)
     rows = X.document_mixture(docs).collect()
     assert len(rows) == awkward.count() and all(0 <= r["probability"] <= 1 for r in rows)
-    assert X.filter_documents(docs).columns == docs.columns
+    kept = X.filter_documents(docs)
+    assert kept.columns == docs.columns and {(r["topic"], r["weight"], r["kept"]) for r in kept.collect()} == {(7, 7, 7)}
     assert X.document_mixture(nothing).count() == 0
     assert not re.search("Python|Pandas|Arrow", X.document_mixture(awkward)._jdf.queryExecution().executedPlan().toString())
 
