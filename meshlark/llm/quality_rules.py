@@ -4,8 +4,8 @@ Every document gets counts of its whole text (words, characters, symbols, stop w
 verdict from RULES, each a linear inequality in these counts, so that both sides stay integers and no division can fail.
 
 Cases: a null or empty text, or one without words, has zero counts and fails the base rule (under 50 words).  Null ids,
-sources or languages pass through.  Repeated rows are judged each by itself.  Columns with the names of this operator's
-outputs are replaced by them; other columns stay.  An empty table gives an empty result.
+sources or languages pass through.  Repeated rows are judged each by itself.  measure and judge replace columns that have
+the names of their outputs; filter_documents keeps all columns as they are.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import SPACE, WORD, let, table, words
+from meshlark.llm._common import SPACE, WORD, apart, let, table, words
 
 # Function words of four languages.
 STOP_WORDS = (
@@ -139,7 +139,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
-    return judge(docs, text).where("kept").select(*docs.columns)
+    return apart(docs, (text,), lambda own: judge(own, text).where("kept"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

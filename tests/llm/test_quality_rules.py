@@ -35,7 +35,7 @@ def test_clean_prose_stays_and_junk_goes(spark, clashing):
     rows = [(1, prose(1, 90)), (2, "$$$ ## %% && " * 60), (3, "zz qq xx vv " * 40)]
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r["doc_id"] for r in Q.filter_documents(docs).collect()] == [1]
-    assert Q.filter_documents(docs).columns == docs.columns
+    assert Q.filter_documents(docs).columns == docs.columns and Q.filter_documents(docs).first()["kept"] == 7
 
 
 def test_no_rows(nothing):
