@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import bounded, checkpoint_dir, cut, materialize, mix, scan_words, spread, table, utf8
+from meshlark.llm._common import apart, bounded, checkpoint_dir, cut, materialize, mix, scan_words, spread, table, utf8
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -240,8 +240,10 @@ def star(state: DataFrame, turn: int) -> DataFrame:
     centre = size.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "top", "root")).alias("c")).where("parts > 1")
     centre = centre.select("key", F.col("c.top.node").alias("centre"), F.col("c.root").alias("main"))
     rays = materialize(state.join(centre, "key").where("root != main").select("node", "centre").distinct())
-    groups = rays.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(RIGHT * 0.8)).alias("groups"))
-    rays = rays.join(groups, "centre").withColumn("group", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("groups"))))
+    # centres of more than one group have RIGHT * 0.8 rays or more each, so they are few against the rays
+    groups = rays.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(RIGHT * 0.8)).alias("groups")).where("groups > 1")
+    rays = rays.join(bounded(materialize(groups)), "centre", "left")
+    rays = rays.withColumn("group", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.coalesce("groups", F.lit(1)))))
     return rays.select("group", "node", F.lit(1).alias("side")).unionByName(rays.select("group", F.col("centre").alias("node"), F.lit(0).alias("side")).distinct())
 
 
@@ -321,8 +323,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 def filter_documents(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, in docs' own columns."""
     gone = materialize(classes(docs).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct())
-    marked = docs.withColumn("__own", node(F.col("text")))
-    return marked.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__node")), "left_anti").select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (node(F.col("text")) == F.col("__node"))
+    return apart(docs, ("doc_id", "text"), lambda own: own.join(bounded(gone), same, "left_anti"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def test_awkward_rows(awkward, nothing, clashing):
         by[r["doc_id"]].add(r["class_id"])
     assert by[6] == {1} and by[3] == {3} and by[4] == {3} and by[7] == {7}
     kept = D.filter_documents(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 7, 8, 9, 10, 11, 12]
+    assert kept.columns == docs.columns and {(r["node"], r["kept"]) for r in kept.collect()} == {(7, 7)} and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 7, 8, 9, 10, 11, 12]
     assert D.classes(nothing).count() == 0
 
 
