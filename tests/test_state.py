@@ -173,15 +173,95 @@ def test_rockstar_and_timing(spark, tmp_path):
     (tmp_path / "r.list").write_text("#id m pid\n# comment\n1 1e12 -1\n2 2e12 1\n")
     rows = text.read_rockstar(spark, str(tmp_path / "r.list"), ["id", "m", "pid"]).orderBy("id").collect()
     assert [r["is_distinct"] for r in rows] == [True, False]
-    (tmp_path / "t.log").write_text("timing\nstep ...\n" + "\n".join(f"{s} " + " ".join(["1.5"] * 9) for s in range(3)))
-    assert text.parse_timing(spark.read.text(str(tmp_path / "t.log"))).count() == 3
+    head = " Ngrid    =          64 Npart    =      262144 Nthreads =           8\n  Step   Tot/min      Force       Move          Density      IO         Bias       BDM        Analysis     MG\n"
+    (tmp_path / "t.log").write_text(head + "\n".join(f"{s:5d}" + "".join(f"{s + i / 10:13.4f}" for i in range(9)) for s in range(1, 4)) + "\n")
+    rows = text.parse_timing(spark.read.text(str(tmp_path / "t.log"))).orderBy("step").collect()
+    assert [r["step"] for r in rows] == [1, 2, 3]
+    want = dict(zip("total force move density io bias halos analysis field".split(), (2 + i / 10 for i in range(9)), strict=True))
+    assert {k: v for k, v in rows[1].asDict().items() if k != "step"} == want
+
+
+def test_rockstar_with_a_long_header(spark, tmp_path):
+    """63 lines of header, some of which read like numbers after a #."""
+    (tmp_path / "r.list").write_text("".join(f"#{i} 1 2 3\n" for i in range(63)) + "7 1e12 -1\n8 3e12 7\n")
+    rows = text.read_rockstar(spark, str(tmp_path / "r.list"), ["id", "m", "pid"]).orderBy("id").collect()
+    assert [(r["id"], r["m"], r["is_distinct"]) for r in rows] == [(7, 1e12, True), (8, 3e12, False)]
+
+
+def test_galaxies_text(spark, tmp_path):
+    (tmp_path / "g.dat").write_text("mock\n box = 32\n x y z vx vy vz dens\n" + "\n".join(" ".join(f"{i + j / 8}" for j in range(7)) for i in range(4)))
+    rows = text.read_galaxies(spark, str(tmp_path / "g.dat")).orderBy("x").collect()
+    assert [tuple(r[c] for c in text.GALAXY_COLUMNS) for r in rows] == [tuple(i + j / 8 for j in range(7)) for i in range(4)]
+
+
+def test_listed_tables(spark, tmp_path):
+    """Realizations follow the list, not the names; only as many files as its first line tells are read."""
+    for i, name in enumerate("zba"):
+        (tmp_path / f"{name}.dat").write_text("t\n a\n b\n" + "\n".join(f"{b} {b / 10} {b + 1} {100.0 * (i + 1)}" for b in range(1, 4)))
+    (tmp_path / "list.dat").write_text("2\nz.dat\nb.dat\na.dat\n")
+    df = text.read_listed(spark, str(tmp_path / "list.dat"), text.SPECTRUM_COLUMNS[:4], {"bin", "n_modes"})
+    assert {(r["realization"], r["pk"]) for r in df.collect()} == {(0, 100.0), (1, 200.0)} and df.count() == 6
+    got = {r["bin"]: r["pk"] for r in text.corrected(df.where("realization = 0"), 2500.0, 3300.0, 1000.0).collect()}
+    assert all(abs(got[b] - (100 / (1 - 0.667 * np.sin(b / 10 * 2500 / 6600) ** 2) - 15.625)) < 1e-9 for b in (1, 2, 3))
+    (tmp_path / "b1").write_text("t\n a\n b\n c\n0.1 0.2 0.3 12 5.5\n0.1 0.2 0.4 13 6.5\n")
+    (tmp_path / "blist").write_text("1\nb1\n")
+    assert [(r["k3"], r["n"], r["b"]) for r in text.read_bispectra(spark, str(tmp_path / "blist")).orderBy("k3").collect()] == [(0.3, 12.0, 5.5), (0.4, 13.0, 6.5)]
+
+
+def test_written_profiles_and_planes(spark, tmp_path):
+    p = spark.createDataFrame([(1, s, s, float(s), s * 10.0, s + 0.5) for s in range(3)] + [(2, 0, 1, 1.0, 9.0, 0.5)], "halo long, shell long, n long, mass double, enclosed double, radius double")
+    h = spark.createDataFrame([(1, 500.0), (2, 50.0)], "halo long, mvir double")
+    text.write_profiles(p, h, str(tmp_path / "p"), 1.0)
+    rows = spark.read.parquet(str(tmp_path / "p")).collect()
+    assert [(r["halo"], [(x["shell"], x["enclosed"]) for x in r["shells"]]) for r in rows] == [(1, [(1, 10.0), (2, 20.0)])]
+    planes = spark.createDataFrame([("xy", a, b, a * 10.0 + b) for a in (1, 2) for b in (1, 2, 3)], "plane string, a int, b int, dens double")
+    text.write_projections(planes, str(tmp_path / "planes"))
+    assert {(r["plane"], r["a"], tuple(r["dens"])) for r in spark.read.parquet(str(tmp_path / "planes")).collect()} == {("xy", 1, (11.0, 12.0, 13.0)), ("xy", 2, (21.0, 22.0, 23.0))}
+
+
+def test_reformatted_catalog(spark, tmp_path):
+    row = [0.5, 2.0, 3.0, 1.0, 1.5, 2.5, 1e12, 1.1e12, 200.0, 100.0, 150.0, 3, 7.0, 100, 0, 0.1, 0.2, 0.03, 10.0, 0.8, 0.6, 1.0, 0.0, 0.0]
+    (tmp_path / "c").write_text("head\n" + " ".join(map(str, row)) + "\n")
+    out = text.reformatted(text.read_halos(spark, str(tmp_path / "c")), 0.3, 1.0, 340.0, H.mass_ratio_at).first()
+    want = {d: K.mass_at_overdensity(np.array([1.1e12]), np.array([7.0]), d / (340 * 0.3))[0] for d in (500, 200)}
+    assert abs(out["m500c"] / want[500] - 1) < 1e-9 and abs(out["m200c"] / want[200] - 1) < 1e-9 and out["m500c"] < out["m200c"] and out["spin"] == 0.03
+
+
+# a_init to sigma_v, then three redshifts and two bias parameters
+SHORT = [0.0099, 4e-4, 0.13, 1000.5, 0.81, 0.7, 0.31, 0.69, 0.048, 1001, 2002, 1298302, 0.49, 7.5e10, 100.0, 0.0, 30.0, 0.5, 3, "2.5 1.0 0.0 !", 2, 0.25, 0.75]
+
+
+def test_inputs(tmp_path):
+    path = str(tmp_path / "Init.dat")
+    new = text.Inputs.load(path)
+    assert new == text.Inputs() == text.Inputs.load(path) and (new.box, new.n_grid, new.a_step, new.bias[9], new.csf_beta) == (1000.0, 2000, 4e-4, 1.0, -0.2)
+    own = "Box = 250.5\nNrow = 64\nNgrid = 128\nsig8 = 0.9\nz_init = 49.0\nstep da = 1.0d-3\nz = 0.5\n#out = 2\n 1.50 0.50\nthr = 20\nV = 1.5\n#P = 1\nP = 0.75\n"
+    own += "".join(f"flag = {i}   note = {i}\n" for i in range(9)) + "".join(f"x = {v}  0 - no, 1 - yes\n" for v in (1, 0, 5, 0, 1, 0, 7, 1e-9, 2, -1e-6, 1, 0, 2.0, 0.3, 0.01, 0.2, 1, 0, 4, 1.5, 0.25, 2, 1, 0.3, -0.4))
+    got = text.Inputs.parse(own)
+    assert (got.box, got.n_rows, got.a_step, got.redshifts, got.sigma_v, got.bias, got.halos, got.field_model, got.most_cycles) == (250.5, 64, 1e-3, [1.5, 0.5], 1.5, [0.75], 8, 5, 7)
+    assert (got.fr_0, got.kmf_n, got.csf_beta, got.amplitude_mode) == (-1e-6, 4, -0.4, 1) and text.Inputs.parse(got.text()) == got
+    assert text.parse_seeds(" Seeds:  1298302  137\n  55 1\n 77 2\n") == [(55, 1), (77, 2)]
 
 
 def test_settings():
-    s = text.Setup.parse("my run\n0.05 ! a\n0.001\n32\n64\n")
-    assert (s.title, s.a_init, s.n_rows, s.n_grid, s.box) == ("my run", 0.05, 32, 64, 250.0) and text.Setup.parse(s.text()) == s
-    f = text.FinderSettings.parse("iVirial = 3 ! Abacus\nMassMin = 1e10\nunknown = 5\n")
-    assert f.letter == "A" and f.least_mass == 1e10
+    short = ["Setup of a run", "RUN 7"] + [f"{v}   note {i}, with 5 words" for i, v in enumerate(SHORT)]
+    s = text.Setup.parse("\n".join(short))
+    assert (s.title, s.header, s.a_init, s.a_step, s.sigma, s.box, s.sigma8) == ("Setup of a run", "RUN 7", 0.0099, 4e-4, 0.13, 1000.5, 0.81)
+    assert (s.omega_m, s.omega_l, s.n_rows, s.n_grid, s.seed, s.sigma_v) == (0.31, 0.69, 1001, 2002, 1298302, 0.5)
+    assert s.redshifts == [2.5, 1.0, 0.0] and s.bias == [0.25, 0.75] and s.appended and (s.power, s.density, s.halos) == (1, 1, 0)
+    rest = [21, 2, 1, 0, 1, 0, 1, 0, 1, "--- field", "T", "F", 3, "T", "F", "F", 9, "1.0d-8", "--- fr", 2, -1e-5, "--- dgp", "T", "F", 1.5, "--- sym", 0.4, 0.002, 0.3]
+    rest += ["--- kmf", "F", "T", 4, 1.25, 0.15, "--- csf", 1, 2, 0.11, -0.21]
+    whole = text.Setup.parse("\n".join(short + [f"{v}" if str(v).startswith("-") and "e" not in str(v) and "." not in str(v) else f"{v}  ! note" for v in rest]))
+    assert (whole.checkpoint_steps, whole.save_snapshots, whole.halos, whole.field_on, whole.field_model, whole.most_cycles, whole.residual_limit) == (21, 2, 1, True, 3, 9, 1e-8)
+    assert (whole.fr_n, whole.fr_0, whole.dgp_h0rc, whole.sym_beta, whole.kmf_born_infeld, whole.kmf_k0, whole.csf_beta) == (2, -1e-5, 1.5, 0.3, True, 1.25, -0.21)
+    assert (whole.amplitude_mode, whole.reverse_phases, whole.appended) == (1, 0, False)
+    assert text.Setup.parse(whole.text()) == whole
+    with pytest.raises(ValueError):
+        text.Setup.parse("a\nb\n0.1\n")
+    f = text.FinderSettings.parse("! iVirial = 2\n   iVirial = 3 ! Abacus\n MinMass = 1e10 ! m\nunknown = 5 ! x\nnradp = 12 ! n\nNne = 4 ! n\nDLOGR = 0.5 ! r\ndlogp = 0.25 ! p\nRextern = 0.75 ! e\nSlope = 0.125 ! s\n")
+    assert f == text.FinderSettings(3, 12, 4, 0.75, 0.125, 1e10, 0.5, 0.25) and f.letter == "A"
+    d = text.FinderSettings()
+    assert text.FinderSettings.parse(d.text()) == d and (d.shells, d.extension, d.slope, d.least_mass) == (30, 0.15, 0.2, 2.5e12)
     pairs, rows = text.parse_table("Om = 0.3\nsigma8 = 0.8\n" + "\n".join(f"{10 ** (x / 10)} {x + 1}" for x in range(5)))
     assert pairs == {"om": 0.3, "sigma8": 0.8} and len(rows) == 5
     with pytest.raises(ValueError):
