@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlark.functions.storage import few
+
 
 def linear_bin(value: Column, width: float) -> Column:
     return F.floor(value / width).cast("long")
@@ -82,12 +84,27 @@ def global_rank(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
 QUANTILES = (0.10, 0.32, 0.50, 0.68, 0.90)
 
 
-def bin_quantiles(df: DataFrame, value: str, *by: str, least: int = 10, quantiles=QUANTILES) -> DataFrame:
-    """(by, n, q10, ...): the value at place int(q * n) + 1 in order, for groups of more than `least` rows."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    placed = ranked(df, value, *by).join(counts, list(by))
-    at = lambda q: F.max(F.when(F.col("rank") == F.floor(F.lit(q) * F.col("n")) + 1, F.col(value)))
-    return placed.groupBy(*by, "n").agg(*[at(q).alias(f"q{round(100 * q)}") for q in quantiles])
+def bin_quantiles(df: DataFrame, value: str, *by: str, least: int = 10, quantiles=QUANTILES, parts: int = 1024) -> DataFrame:
+    """(by, n, q10, ...): the value at place int(q * n) + 1 in order, for groups of more than `least` rows.
+
+    A group's range is cut into parts whose rows are counted; only parts that hold one of the places are looked into, by
+    value and count.  So no task sorts a group, however large it is or however often a value occurs.
+    """
+    own = df.select(*by, F.col(value).alias("__v")).where("__v IS NOT NULL")
+    ends = few(own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__a"), F.max("__v").alias("__z")).where(F.col("n") > least))
+    share = (F.col("__v") - F.col("__a")) / F.nullif(F.col("__z") - F.col("__a"), F.lit(0.0))
+    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts), F.lit(parts - 1)).cast("int")
+    placed = own.join(ends, list(by)).select(*by, "n", part.alias("__p"), "__v")
+    up_to = Window.partitionBy(*by).orderBy("__p")  # parts of a group
+    counts = placed.groupBy(*by, "n", "__p").agg(F.count(F.lit(1)).alias("__c")).withColumn("__to", F.sum("__c").over(up_to))
+    wanted = F.explode(F.array(*[F.struct(F.lit(round(100 * q)).alias("q"), (F.floor(F.lit(q) * F.col("n")) + 1).alias("at")) for q in quantiles]))
+    hit = counts.select("*", wanted.alias("__w")).where("__w.at <= __to AND __w.at > __to - __c")
+    hit = few(hit.select(*by, "__p", F.col("__w.q").alias("__q"), (F.col("__w.at") - (F.col("__to") - F.col("__c"))).alias("__at")))
+    values = placed.join(hit.select(*by, "__p").distinct(), [*by, "__p"], "left_semi").groupBy(*by, "n", "__p", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    values = values.withColumn("__to", F.sum("__c").over(Window.partitionBy(*by, "__p").orderBy("__v")))
+    found = values.join(hit, [*by, "__p"]).where("__at <= __to AND __at > __to - __c")
+    at = lambda q: F.max(F.when(F.col("__q") == round(100 * q), F.col("__v")))
+    return found.groupBy(*by, "n").agg(*[at(q).alias(f"q{round(100 * q)}") for q in quantiles])
 
 
 def adaptive_edges(counts: list[tuple[int, int]], least: int, growth: float) -> list[tuple[int, int]]:
@@ -110,35 +127,71 @@ def adaptive_edges(counts: list[tuple[int, int]], least: int, growth: float) ->
     return out
 
 
+#: Rows of a tabulated function, or bins, that are held as one sorted array.
+TABLE_ROWS = 1 << 17
+
+
+def bracket(x: Column, places: Column, n: int) -> Column:
+    """The number of entries of a sorted array of n that are at most x, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = F.get(places, mid) <= x
+        more = s["lo"] < s["hi"]
+        return F.struct(F.when(more & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(more & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(n, 1).bit_length())), start, halve)["lo"]
+
+
 def adaptive_quantiles(df: DataFrame, fine: Column, value: str, least: int = 600, growth: float = 1.5) -> DataFrame:
-    """(low, high, n, quantiles of value) over bins of a fine binning, joined until each has `least` rows."""
-    own = df.withColumn("__fine", fine.cast("long"))
-    counts = [(r[0], r[1]) for r in own.groupBy("__fine").count().orderBy("__fine").collect()]  # bins, not rows
-    edges = adaptive_edges(counts, least, growth)
-    table = df.sparkSession.createDataFrame(edges, "low long, high long")
-    placed = own.join(F.broadcast(table), (F.col("__fine") >= F.col("low")) & (F.col("__fine") <= F.col("high")))
+    """(low, high, n, quantiles of value) over bins of a fine binning, joined until each has `least` rows.
+
+    Bins follow from those before them, so the fine bins' counts (TABLE_ROWS at most) are gone through on the driver.
+    """
+    own = df.withColumn("__fine", fine.cast("long")).where("__fine IS NOT NULL")
+    counts = own.groupBy("__fine").count()
+    rows = counts.limit(TABLE_ROWS + 1).collect()
+    if len(rows) > TABLE_ROWS:
+        raise ValueError(f"over {TABLE_ROWS} fine bins: take wider ones")
+    edges = adaptive_edges(sorted((r[0], r[1]) for r in rows), least, growth)
+    lows = F.array(*[F.lit(a) for a, _ in edges]) if edges else F.array().cast("array<long>")
+    highs = F.array(*[F.lit(z) for _, z in edges]) if edges else F.array().cast("array<long>")
+    at = bracket(F.col("__fine"), lows, len(edges)) - 1
+    placed = own.select(value, at.alias("__at")).select(value, F.get(lows, F.col("__at")).alias("low"), F.get(highs, F.col("__at")).alias("high"))
     return bin_quantiles(placed, value, "low", "high")
 
 
+def sorted_table(table: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """One row with an array of each column, in order of the first, and their length; TABLE_ROWS at most."""
+    n = table.limit(TABLE_ROWS + 1).count()
+    if n > TABLE_ROWS:
+        raise ValueError(f"a table of over {TABLE_ROWS} rows")
+    rows = table.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__t"))
+    return rows.select(*[F.col("__t").getField(c).alias(f"__{c}s") for c in columns]), n
+
+
 def lookup(df: DataFrame, table: DataFrame, at: str, key: str, value: str) -> DataFrame:
     """df with value interpolated linearly between the two rows of a sorted table around df's column at.
 
-    table: a tabulated function, small enough to be broadcast.  Outside its range the result is null.
+    table: a tabulated function of TABLE_ROWS rows at most, broadcast as one row of arrays in which each row of df finds
+    its place by bisection.  Outside the table's range the result is null.
     """
-    w = Window.orderBy(key)
-    steps = table.select(F.col(key).alias("__a"), F.col(value).alias("__fa"), F.lead(key).over(w).alias("__b"), F.lead(value).over(w).alias("__fb")).where("__b IS NOT NULL")
-    last = steps.agg(F.max("__b").alias("__end"))
-    steps = steps.crossJoin(F.broadcast(last))
-    inside = (F.col(at) >= F.col("__a")) & ((F.col(at) < F.col("__b")) | ((F.col("__b") == F.col("__end")) & (F.col(at) == F.col("__end"))))
-    out = df.join(F.broadcast(steps), inside, "left")
-    share = (F.col(at) - F.col("__a")) / (F.col("__b") - F.col("__a"))
-    return out.withColumn(value, F.col("__fa") + (F.col("__fb") - F.col("__fa")) * share).drop("__a", "__fa", "__b", "__fb", "__end")
+    arrays, n = sorted_table(table.select(F.col(key).alias("k"), F.col(value).alias("f")), "k", "f")
+    held = df.crossJoin(F.broadcast(arrays)).withColumn("__i", F.least(bracket(F.col(at), F.col("__ks"), n), F.lit(n - 1)) - 1)  # one row
+    of = lambda c, more: F.when(F.col("__i") >= 0, F.get(c, F.col("__i") + more))
+    a, b, fa, fb = of("__ks", 0), of("__ks", 1), of("__fs", 0), of("__fs", 1)
+    inside = (F.col(at) >= a) & (F.col(at) <= b)
+    return held.withColumn(value, F.when(inside, fa + (fb - fa) * ((F.col(at) - a) / (b - a)))).drop("__ks", "__fs", "__i")
 
 
 def nearest(requests: DataFrame, steps: DataFrame, request: str, step: str) -> DataFrame:
-    """Each request with the row of steps nearest to it (ties: the smaller); both are short lists."""
-    best = requests.crossJoin(F.broadcast(steps)).groupBy(request).agg(F.min(F.struct(F.abs(F.col(request) - F.col(step)).alias("d"), F.col(step).alias("s"))).alias("best"))
-    return best.select(request, F.col("best.s").alias(step))
+    """Each distinct request with the step nearest to it (ties: the smaller); steps: TABLE_ROWS at most, broadcast as one row."""
+    arrays, n = sorted_table(steps.select(F.col(step).alias("s")).distinct(), "s")
+    held = requests.select(request).distinct().crossJoin(F.broadcast(arrays)).withColumn("__i", bracket(F.col(request), F.col("__ss"), n))  # one row
+    low, high = F.when(F.col("__i") > 0, F.get("__ss", F.col("__i") - 1)), F.get("__ss", F.col("__i"))
+    near = F.when(low.isNull() | (high - F.col(request) < F.col(request) - low), high).otherwise(low)
+    return held.select(request, near.alias(step))
 
 
 def corrected_concentration(conc: Column, d: Column) -> Column:

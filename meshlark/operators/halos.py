@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshlark.functions import cosmology
+from meshlark.functions.storage import cut
 from meshlark.operators import rangejoin as R
 
 AXES = R.AXES
@@ -71,6 +72,17 @@ def peak_velocity(profile: DataFrame) -> DataFrame:
     return rising.groupBy("halo").agg(F.max_by(F.struct("v2", "radius"), F.struct("v2", -F.col("shell"))).alias("x")).select("halo", F.col("x.v2").alias("v2max"), F.col("x.radius").alias("rmax"))
 
 
+def peak_and_radius(profile: DataFrame, correction: float) -> DataFrame:
+    """(halo, v2max, rmax): as of peak_velocity, with the loss by resolution made up for: over 1 - correction / r.
+
+    r is the radius at which the scan from outside in ends: that of the first fall, or the innermost.
+    """
+    w = Window.partitionBy("halo").orderBy(F.desc("shell"))
+    own = profile.withColumn("v2", F.col("enclosed") / F.col("radius")).withColumn("falls", F.when(F.col("v2") < F.lag("v2").over(w), F.col("radius")))
+    last = own.groupBy("halo").agg(F.coalesce(F.max("falls"), F.min("radius")).alias("r"))
+    return peak_velocity(profile).join(last, "halo").select("halo", (F.col("v2max") / (1 - correction / F.col("r"))).alias("v2max"), "rmax")
+
+
 def potentials(profile: DataFrame, strength: float = 1.0) -> DataFrame:
     """profile with phi at each shell's edge: -M / R at the last, and inward by the mean of neighbours' masses."""
     forward = Window.partitionBy("halo").orderBy("shell")
@@ -116,6 +128,13 @@ def properties(sums: DataFrame, radii: DataFrame, strength: float = 1.0) -> Data
     return own.select("halo", "n", "mass", (offset / r).alias("xoff"), (angular / (F.sqrt(F.lit(2.0)) * r * circular)).alias("spin"), (F.col("v2") / (strength * m * m / r) - 1).alias("virrat"), F.sqrt(F.col("r2") / m).alias("radrms"))
 
 
+def steepened(ratios: DataFrame, compactness: Column) -> DataFrame:
+    """Axis ratios to powers that grow with the rms radius over the halo's (compactness), as sharp edges round shapes."""
+    over = F.greatest(compactness - 0.4, F.lit(0.0))
+    power = lambda c: 1 + 2 * over + F.pow(c * over, F.lit(3.0))
+    return ratios.withColumns({"ba": F.pow("ba", power(5.7)), "ca": F.pow("ca", power(5.5))})
+
+
 def axis_ratios(sums: DataFrame) -> DataFrame:
     """(halo, ba, ca): ratios of the axes of the tensor of second moments; null where it has no extent."""
     names = ["txx", "txy", "txz", "tyy", "tyz", "tzz"]
@@ -145,17 +164,20 @@ def mass_ratio_at(conc: pd.Series, ratio: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def find(centres: DataFrame, points: DataFrame, edges: list[float], box: float, threshold: float, mean_density: float, strength: float = 1.0, passes: int = 1) -> DataFrame:
-    """From centres (id, x, y, z, m) to a catalog: recentred, measured, unbound and free of contained halos."""
-    own = centres.select("id", *AXES)
-    for _ in range(passes):
-        own = R.recentre(own, points, edges[len(edges) // 2], box, edges[-1]).select("id", *AXES).checkpoint()
-    inside = members(own, points, edges, box).checkpoint()
-    profile = profiles(inside, edges)
-    radii = overdensity_radius(profile, threshold, mean_density)
-    kept = bound(inside, profile, strength)
-    sums = moments(kept)
-    out = own.withColumnRenamed("id", "halo").join(radii, "halo").join(properties(sums, radii, strength), "halo").join(axis_ratios(sums), "halo").join(peak_velocity(profile), "halo")
+def find(centres: DataFrame, points: DataFrame, edges: list[float], box: float, threshold: float, mean_density: float, strength: float = 1.0, passes: int = 4) -> DataFrame:
+    """From centres (id, x, y, z, density) to a catalog: recentred, measured, unbound and free of contained halos.
+
+    edges[0] stands for a cell's side: of the recentring and of the correction of peak velocities.
+    """
+    own = cut(R.settle(centres, points, edges[0], box, passes).select("id", *AXES))
+    inside = cut(members(own, points, edges, box))
+    profile = cut(profiles(inside, edges))
+    radii = cut(overdensity_radius(profile, threshold, mean_density))
+    sums = cut(moments(bound(inside, profile, strength)))
+    facts = properties(sums, radii, strength)
+    shapes = axis_ratios(sums).join(facts.select("halo", "radrms"), "halo").join(radii, "halo")
+    shapes = steepened(shapes, F.col("radrms") / F.col("rvir")).select("halo", "ba", "ca")
+    out = own.withColumnRenamed("id", "halo").join(radii, "halo").join(facts, "halo").join(shapes, "halo").join(peak_and_radius(profile, 0.1 * edges[0]), "halo")
     heavy = out.select(F.col("halo").alias("id"), *AXES, F.col("rvir").alias("r"), F.col("mvir").alias("m"))
     left = R.remove_contained(heavy, box, edges[-1]).select(F.col("id").alias("halo"))
     return out.join(left, "halo", "left_semi")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.functions.storage import cut
+
 AXES = ("x", "y", "z")
 
 
@@ -86,9 +88,9 @@ def shell(d2: Column, edges: list[float]) -> Column:
 
 def pair_counts(df: DataFrame, box: float, edges: list[float], weight: str = "m", size: float | None = None) -> DataFrame:
     """(bin, pairs, weight): ordered pairs of distinct rows by distance, counted and weighted with the product of weights."""
-    pairs = within(df, df, edges[-1], box, size or edges[-1], extra=F.col("a.id") != F.col("b.id"))
+    pairs = within(df, df, edges[-1], box, size or edges[-1], extra=F.col("a.id") < F.col("b.id"))  # each pair once
     b = shell(F.col("d2"), edges).alias("bin")
-    return pairs.select(b, (F.col(f"a.{weight}") * F.col(f"b.{weight}")).alias("w")).groupBy("bin").agg(F.count(F.lit(1)).alias("pairs"), F.sum("w").alias("weight"))
+    return pairs.select(b, (F.col(f"a.{weight}") * F.col(f"b.{weight}")).alias("w")).groupBy("bin").agg((2 * F.count(F.lit(1))).alias("pairs"), (2 * F.sum("w")).alias("weight"))
 
 
 def correlation(df: DataFrame, box: float, edges: list[float], weight: str = "m") -> DataFrame:
@@ -126,14 +128,36 @@ def distinct_flag(halos: DataFrame, box: float, size: float) -> DataFrame:
     return halos.join(heavier.select("id", F.lit(False).alias("is_distinct")), "id", "left").withColumn("is_distinct", F.coalesce("is_distinct", F.lit(True)))
 
 
-def recentre(halos: DataFrame, points: DataFrame, reach: float, box: float, size: float) -> DataFrame:
-    """Halos moved to the mean position and velocity of the points around them, with n; those without points stay."""
-    keys = ("id", *AXES)
-    pairs = within(halos.select(*keys), points.select("id", *AXES, "vx", "vy", "vz"), reach, box, size)
+def recentre(halos: DataFrame, points: DataFrame, reach: Column | float, box: float, size: float, least: int = 1) -> DataFrame:
+    """Halos moved to the mean position and velocity of the points around them, with n; those with fewer than least stay.
+
+    reach may use columns of halos.
+    """
+    r = F.lit(float(reach)) if isinstance(reach, (int, float)) else reach
+    pairs = within(halos.select("id", *AXES, r.alias("reach")), points.select("id", *AXES, "vx", "vy", "vz"), F.col("reach"), box, size)
     moves = [F.avg(nearest_image(F.col(f"b.{c}") - F.col(f"a.{c}"), box)).alias(f"d{c}") for c in AXES]
     speeds = [F.avg(f"b.v{c}").alias(f"w{c}") for c in AXES]
-    means = pairs.groupBy(F.col("a.id").alias("id")).agg(*moves, *speeds, F.count(F.lit(1)).alias("n"))
+    means = pairs.groupBy(F.col("a.id").alias("id")).agg(*moves, *speeds, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     moved = {c: F.coalesce(F.col(f"h.{c}") + F.col(f"d{c}"), F.col(f"h.{c}")) for c in AXES}
     out = halos.alias("h").join(means, "id", "left")
     back = {c: F.when(moved[c] >= box, moved[c] - box).when(moved[c] < 0, moved[c] + box).otherwise(moved[c]) for c in AXES}
     return out.select("id", *[back[c].alias(c) for c in AXES], *[F.coalesce(f"w{c}", F.lit(0.0)).alias(f"v{c}") for c in AXES], F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def density_reach(density: Column, cell: float) -> Column:
+    """Half to twice a cell, growing with the logarithm of the density at a maximum."""
+    return cell * F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.log10(density + 10) / 2))
+
+
+def settle(halos: DataFrame, points: DataFrame, cell: float, box: float, passes: int = 4) -> DataFrame:
+    """Maxima (id, x, y, z, density) moved in passes to the mean of the points within reach, where two or more are.
+
+    With n and velocities of the last pass, as of recentre.
+    """
+    out = halos.select("id", *AXES, "density")
+    for p in range(passes):
+        moved = recentre(out, points, density_reach(F.col("density"), cell), box, 2 * cell, least=2)
+        if p == passes - 1:
+            return moved
+        out = cut(moved.select("id", *AXES).join(halos.select("id", "density"), "id"))
+    return recentre(out, points, 0.0, box, 2 * cell, least=2)

@@ -78,6 +78,23 @@ def transform(mesh: DataFrame, n: int, whole: bool | None = None) -> DataFrame:
     return fft3(mesh.select(*CELL, F.col("val").alias("re"), F.lit(0.0).alias("im")), n, whole=whole)
 
 
+def transforms(meshes: DataFrame, n: int, by: str) -> DataFrame:
+    """(by, i, j, k, re, im): transforms of real meshes (by, i, j, k, val) of up to WHOLE cells an axis, a task each."""
+    if n > WHOLE:
+        raise ValueError(f"several meshes of over {WHOLE} cells: transform them one by one")
+    kind = dict(meshes.dtypes)[by]
+
+    def run(mesh: pa.Table) -> pa.Table:
+        z = np.zeros((n, n, n), complex)
+        i, j, k, val = (mesh.column(c).to_numpy() for c in (*CELL, "val"))
+        z[i - 1, j - 1, k - 1] = val
+        i, j, k = (x.ravel() + 1 for x in np.indices((n, n, n)))
+        out = pa.Table.from_batches([_batch(i, j, k, (np.fft.fftn(z) / n**3).ravel())])
+        return out.add_column(0, by, pa.repeat(mesh.column(by)[0], len(out)))
+
+    return meshes.select(by, *CELL, "val").groupBy(by).applyInArrow(run, f"{by} {kind}, {SCHEMA}")
+
+
 def dft3(mesh: DataFrame, n: int) -> DataFrame:
     """The same as joins with a table of sines: an axis at a time, for meshes small enough to check others by."""
     spark = mesh.sparkSession

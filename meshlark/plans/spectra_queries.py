@@ -11,7 +11,7 @@ from meshlark.operators import catalog as C
 from meshlark.operators import mesh as M
 from meshlark.operators import spectra as S
 from meshlark.plans.fixtures import N, cte, query, view
-from meshlark.plans.mesh_queries import RSD, SMALL, corners_sql, density, deposit_sql, multi, particles, picked, rounded, tidy
+from meshlark.plans.mesh_queries import RSD, SMALL, corners_sql, density, deposit_sql, multi, nodes_sql, particles, picked, rounded, tidy
 
 BOX = 250.0
 TINY = 8
@@ -96,12 +96,17 @@ def f04(spark, d):
     return p.select("bin", rounded(F.col("weight")).alias("weight"), rounded(F.col("p0"), 3).alias("p0"))
 
 
-@query("F06_power_driver")
+dft_ctes("modes32", "mesh", N)
+POWER32 = tidy_power("'linear' AS kind, ", power_sql("modes32"), "") + f" UNION ALL SELECT 'log' AS kind, bin, n_modes, {tidy('k')} AS k, {tidy('p0', 3)} AS p0 FROM (SELECT CAST(floor(log10(k)/0.02e0) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n_modes, avg(k) * {2 * pi / BOX!r}e0 AS k, avg(amp) * {BOX**3}e0 AS p0 FROM modes32 GROUP BY 1) r"
+
+
+@query("F06_power_driver", POWER32, "modes32")
 def f06(spark, d):
-    """The power of the full mesh, real space and log bins; a test holds it against numpy."""
+    """The power of the full mesh in real space, in linear and in log bins."""
     spectrum = S.transform(density(spark, d), N)
-    linear, logs = S.power(spectrum, N, BOX), S.power_log(spectrum, N, BOX)
-    return linear.select(F.lit("linear").alias("kind"), "bin", "n_modes", "k", "p0").unionByName(logs.select(F.lit("log").alias("kind"), "bin", "n_modes", "k", "p0"))
+    linear, logs = S.power(spectrum, N, BOX).drop("p2"), S.power_log(spectrum, N, BOX)
+    both = linear.select(F.lit("linear").alias("kind"), "*").unionByName(logs.select(F.lit("log").alias("kind"), "*"))
+    return tidy_spectrum(both, "kind", p2=False)
 
 
 for _a in "xyz":
@@ -151,12 +156,9 @@ dft_ctes("multi_modes", "multi", SMALL, "level")
 
 
 def levels_power(spark, d):
-    m = multi(spark, d)
-    out = None
-    for level in (1, 2, 3):
-        own = S.power(S.transform(m.where(F.col("level") == level), SMALL), SMALL, BOX / 2**level).withColumn("level", F.lit(level))
-        out = own if out is None else out.unionByName(own)
-    return out
+    spectra = S.power(S.transforms(multi(spark, d), SMALL, "level"), SMALL, BOX, "level")
+    times = F.pow(F.lit(2.0), F.col("level"))  # a level's box is smaller by this
+    return spectra.withColumns({"k": F.col("k") * times, "p0": F.col("p0") / (times * times * times), "p2": F.col("p2") / (times * times * times)})
 
 
 @query("F10_folded_power", f"SELECT CAST(level AS INTEGER) AS level, bin, n_modes, {tidy('k * (1 << CAST(level AS INTEGER))')} AS k, {tidy('p0 / (1 << CAST(3*level AS INTEGER))', 3)} AS p0 FROM ({power_sql('multi_modes', 'level')}) q", "multi_modes")
@@ -164,26 +166,32 @@ def f10(spark, d):
     return tidy_spectrum(levels_power(spark, d), "level", p2=False)
 
 
-@query("F10_stitched_power")
+cte("folded", f"SELECT CAST(level AS INTEGER) AS level, bin, n_modes, k * (1 << CAST(level AS INTEGER)) AS k, p0 / (1 << CAST(3*level AS INTEGER)) AS p0 FROM ({power_sql('multi_modes', 'level')}) q", "multi_modes")
+cte("stitch1", f"SELECT * FROM folded WHERE level = 1 AND bin <= {SMALL // 8 + 1}", "folded")
+cte("stitch2", "SELECT f.* FROM folded f, (SELECT max(k) AS e FROM stitch1) s WHERE level = 2 AND k > e AND k <= 2.5e0 * e", "folded", "stitch1")
+cte("stitch3", "SELECT f.* FROM folded f, (SELECT coalesce((SELECT max(k) FROM stitch2), (SELECT max(k) FROM stitch1)) AS e) s WHERE level = 3 AND k > e AND k <= 2.5e0 * e", "folded", "stitch1", "stitch2")
+
+
+@query("F10_stitched_power", tidy_power("level, ", "SELECT * FROM stitch1 UNION ALL SELECT * FROM stitch2 UNION ALL SELECT * FROM stitch3", ""), "stitch3")
 def f10_stitched(spark, d):
     """The spectra of the folded meshes, each where the one before ends."""
-    return C.stitch(levels_power(spark, d), 2.5, first_bins=SMALL // 8 + 1)
+    return tidy_spectrum(C.stitch(levels_power(spark, d), 2.5, first_bins=SMALL // 8 + 1), "level", p2=False)
 
 
 SUBS = 2
+OWN = N // SUBS
+cte("own_box", "SELECT id, " + " + ".join(f"CAST(floor(({a} - 1) / {OWN}e0) AS INTEGER) * {SUBS**p}" for p, a in enumerate("xyz")) + " AS sub, " + ", ".join(f"{a} - floor(({a} - 1) / {OWN}e0) * {OWN} AS {a}" for a in "xyz") + " FROM particles", "particles")
+cte("own_corners", corners_sql("own_box", OWN, "sub"), "own_box")
+cte("own_nodes", f"SELECT * FROM ({nodes_sql(OWN)}) n, (SELECT sub, count(*) AS total FROM own_box GROUP BY sub) t", "own_box")
+cte("own_mesh", f"SELECT n.sub, n.i, n.j, n.k, coalesce(s.w, 0e0) * ({float(OWN**3)!r}e0 / total) - 1 AS val FROM own_nodes n LEFT JOIN (SELECT sub, i, j, k, sum(w) AS w FROM own_corners GROUP BY 1, 2, 3, 4) s ON n.sub = s.sub AND n.i = s.i AND n.j = s.j AND n.k = s.k", "own_nodes", "own_corners")
+dft_ctes("own_modes", "own_mesh", OWN, "sub")
 
 
-@query("F11_sub_box_power")
+@query("F11_sub_box_power", f"SELECT sub, bin, n_modes, {tidy(f'k * {SUBS}')} AS k, {tidy(f'p0 / {SUBS**3}', 3)} AS p0, {tidy(f'p2 / {SUBS**3}', 3)} AS p2 FROM ({power_sql('own_modes', 'sub')}) q", "own_modes")
 def f11(spark, d):
-    """Power of each octant on a mesh of its own; a test holds it against numpy."""
-    size = N // SUBS
-    own = particles(spark, d).withColumn("sub", sum((F.floor((F.col(a) - 1) / size).cast("int") * SUBS**p for p, a in enumerate("xyz")), F.lit(0)))
-    local = own.withColumns({a: F.col(a) - F.floor((F.col(a) - 1) / size) * size for a in "xyz"})
-    out = None
-    for s in range(SUBS**3):
-        part = S.power(S.transform(M.deposit(local.where(F.col("sub") == s), size), size), size, BOX / SUBS).withColumn("sub", F.lit(s))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Power of each octant on a periodic mesh of its own, from one pass over the particles."""
+    boxes = M.own_boxes(particles(spark, d), N, SUBS)
+    return tidy_spectrum(S.power(S.transforms(boxes, OWN, "sub"), OWN, BOX / SUBS, "sub"), "sub")
 
 
 cte("kernel8", f"SELECT x.a AS a, y.a AS b, z.a AS c, sum(cos({2 * pi / TINY!r}e0 * ((x.a*p.a + y.a*q.a + z.a*r.a) % {TINY})) / (2*(cos({2 * pi / TINY!r}e0*p.a) + cos({2 * pi / TINY!r}e0*q.a) + cos({2 * pi / TINY!r}e0*r.a)) - 6)) / {TINY**3} AS g FROM eight x, eight y, eight z, eight p, eight q, eight r WHERE p.a + q.a + r.a > 0 GROUP BY 1, 2, 3", "eight")

@@ -14,10 +14,12 @@ from dataclasses import asdict, dataclass, field, fields
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from meshlark.functions.storage import cut
 from meshlark.operators import mesh as M
 
 PAGE_ROWS = 1024**2
@@ -182,7 +184,7 @@ def indexed(df: DataFrame, key: str = "id") -> DataFrame:
     """df in order of key, with index: ranges are counted apart, and a range's first index is the sum of those before."""
     own = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id())
     own = own.withColumns({"__p": F.shiftright("__at", 33), "__r": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
-    own = own.checkpoint()
+    own = cut(own)
     counts = sorted((r[0], r[1]) for r in own.groupBy("__p").count().collect())  # a row a partition
     starts, total = [], 0
     for p, n in counts:
@@ -205,6 +207,15 @@ def write(df: DataFrame, path: str, header: Header, moment: int | None = None, p
         own, where = store(path)
         held: list[np.ndarray] = []
         now, out, n = None, None, 0
+        attempt = TaskContext.get().taskAttemptId()
+
+        def unfinished() -> str:
+            return f"{where}/.{names(moment, int(now))}.{attempt}"
+
+        def done() -> None:
+            """A file gets its name when it is whole, so that an attempt that is lost or repeated leaves none torn."""
+            out.close()
+            own.move(unfinished(), f"{where}/{names(moment, int(now))}")
 
         def page(last: bool) -> None:
             nonlocal held, n
@@ -224,15 +235,16 @@ def write(df: DataFrame, path: str, header: Header, moment: int | None = None, p
                 if f != now:
                     if out is not None:
                         page(True)
-                        out.close()
-                    out, now = own.open_output_stream(f"{where}/{names(moment, int(f))}"), f
+                        done()
+                    now = f
+                    out = own.open_output_stream(unfinished())
                 held.append(data[:, file == f])
                 n += held[-1].shape[1]
                 if n >= page_rows:
                     page(False)
         if out is not None:
             page(True)
-            out.close()
+            done()
             yield pa.RecordBatch.from_arrays([pa.array([int(now)])], ["file"])
 
     rows.mapInArrow(run, "file long").count()

@@ -5,11 +5,15 @@ A step deposits particles, solves for the potential, kicks by its gradient and d
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.functions.storage import cut
 from meshlark.operators import mesh as M
 from meshlark.operators import spectra as S
 
@@ -39,10 +43,52 @@ def schedule(a: float, da: float, limit: float, last: float = 1.0, most: float =
     return out
 
 
-def tune(starts: list[float], steps: list[float], limit: float, count: int) -> tuple[float, float, int]:
-    """The start and first step whose schedule has the number of steps nearest to count, and that number."""
-    tried = [(abs(len(schedule(a, da, limit)) - count), a, da, len(schedule(a, da, limit))) for a in starts for da in steps]
-    return min(tried)[1:]
+#: Weights of the distances to the three redshifts, in order: a distance counts in these units.
+UNITS = (0.02, 0.01, 3e-4)
+
+
+def steps_of(a: np.ndarray, da: np.ndarray, redshifts: tuple[float, float, float], most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """The number of steps to a over 1 of schedules that begin with a and da, and the distance of their steps to redshifts.
+
+    A step grows by half while it is below its first share of a, less a fifth, and a is below a half.  All schedules
+    advance at once.  A redshift that no two steps enclose is 1000 away.
+    """
+    a, da, limit = a.astype(float), da.astype(float), da / a
+    n, away = np.zeros(len(a), np.int64), np.full((len(a), 3), 1e3)
+    z = np.full(len(a), np.inf)
+    live = np.arange(len(a))
+    for _ in range(most):
+        if not len(live):
+            break
+        grow = (da[live] < limit[live] / 1.25 * a[live]) & (a[live] < 0.5)
+        da[live] = np.where(grow, 1.5 * da[live], da[live])
+        a[live] += da[live]
+        n[live] += 1
+        before, z[live] = z[live], 1 / a[live] - 1
+        for i, w in enumerate(redshifts):
+            met = (n[live] > 1) & (before > w) & (z[live] <= w)
+            away[live[met], i] = np.minimum(before[met] - w, w - z[live][met])
+        live = live[a[live] <= 1]
+    return n, away
+
+
+def tune(grid: DataFrame, redshifts: tuple[float, float, float], count: int, width: int) -> DataFrame:
+    """Of a grid (a, da) of starts and first steps the row with the least error: (a, da, steps, error).
+
+    Error: the distances of the schedule's steps to three redshifts, each in its unit, and 10 exp(((steps - count) /
+    width)**2).  Schedules of count +- width steps or more off are no candidates; nor are starts outside 0.005 to 0.02.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, da = (batch.column(i).to_numpy() for i in (0, 1))
+            n, away = steps_of(a, da, redshifts)
+            error = sum(away[:, i] / u for i, u in enumerate(UNITS)) + 10 * np.exp(np.minimum(((n - count) / width) ** 2, 700.0))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(da), pa.array(n), pa.array(error)], ["a", "da", "steps", "error"])
+
+    tried = grid.where("a > 5e-3 AND a < 0.02 AND da > 1e-5 AND da < 0.02").select("a", "da").mapInArrow(run, "a double, da double, steps long, error double")
+    tried = tried.where((F.col("steps") > count - width) & (F.col("steps") < count + width))
+    return tried.agg(F.min(F.struct("error", "a", "da", "steps")).alias("best")).where("best IS NOT NULL").select("best.a", "best.da", "best.steps", "best.error")
 
 
 def forces(points: DataFrame, potential: DataFrame, n: int) -> DataFrame:
@@ -68,7 +114,7 @@ def step(points: DataFrame, n: int, clock: Clock, omega_m: float) -> DataFrame:
     """One step of gravity alone, kept in the checkpoint folder."""
     potential = S.potential(M.deposit(points, n), n, 1.5 * omega_m / clock.a)
     rate = (omega_m / clock.a**3 + 1 - omega_m) ** 0.5 * clock.a  # da / dt
-    return move(points, potential, n, clock.da / rate, clock.da / (rate * clock.a**2)).checkpoint()
+    return cut(move(points, potential, n, clock.da / rate, clock.da / (rate * clock.a**2)))
 
 
 def run(points: DataFrame, n: int, clock: Clock, steps: int, omega_m: float, each=None, every: int = 0) -> tuple[DataFrame, Clock]:
@@ -82,7 +128,7 @@ def run(points: DataFrame, n: int, clock: Clock, steps: int, omega_m: float, eac
 
 def analyse(points: DataFrame, n: int, box: float, power: bool = True, density: bool = True, peaks: float | None = None) -> dict[str, DataFrame]:
     """What the flags ask for, all from one mesh."""
-    mesh = M.deposit(points, n).checkpoint()
+    mesh = cut(M.deposit(points, n))
     out = {}
     if density:
         out["density"] = M.density_distribution(mesh)
