@@ -153,6 +153,11 @@ def particle_mass(c: Cosmology, box: float, rows: int) -> float:
     return c.omega_m * 2.774e11 * (box / rows) ** 3
 
 
+def scales(c: Cosmology, box: float, rows: int, grid: int, a: float) -> dict:
+    """Units of a run of rows**3 particles on a mesh: mass of a particle, length and velocity of a cell, and the domain."""
+    return {"particle_mass": particle_mass(c, box, rows), "length": box / grid, "velocity": 100.0 * box / grid / a, "domain": (0.0, box)}
+
+
 def concentration_ratio(x: np.ndarray) -> np.ndarray:
     """(Vmax / Vvir)**2 of a profile with concentration x: 0.2162166 x / (ln(1 + x) - x / (1 + x))."""
     return 0.2162166 * x / (np.log1p(x) - x / (1 + x))

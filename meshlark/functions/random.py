@@ -41,11 +41,9 @@ def _jump(n: int) -> tuple[int, int]:
 
 def sequential_state(seed: int, n: Column, bits: int = 40) -> Column:
     """The state after n steps from a seed: a row jumps to its own place, whatever rows come before it."""
-    state = F.lit(seed % MODULUS).cast("long")
-    for b in range(bits):
-        a, c = _jump(1 << b)
-        state = F.when(F.shiftright(n, b).bitwiseAND(F.lit(1)) == 1, F.pmod(state * a + c, F.lit(MODULUS))).otherwise(state)
-    return state
+    jumps = F.array(*[F.struct(F.lit(1 << b).cast("long").alias("p"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for b in range(bits) for a, c in [_jump(1 << b)]])
+    step = lambda s, j: F.when(F.floor(n / j["p"]) % 2 == 1, F.pmod(s * j["a"] + j["c"], F.lit(MODULUS))).otherwise(s)
+    return F.aggregate(jumps, F.lit(seed % MODULUS).cast("long"), step)
 
 
 def sequential(seed: int, n: Column) -> Column:

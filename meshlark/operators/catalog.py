@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.functions.storage import few
+from meshlark.functions.storage import cut, few
 
 
 def linear_bin(value: Column, width: float) -> Column:
@@ -289,6 +289,7 @@ def stitch(spectra: DataFrame, ratio: float = 2.5, first_bins: int | None = None
 
     The first level gives its lowest bins; a further one the k over that end, up to ratio times it.
     """
+    spectra = cut(spectra)  # a row a level and bin, read for each level
     levels = sorted(r[0] for r in spectra.select("level").distinct().collect())  # a handful
     out, end = None, None
     for level in levels:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meshlark.operators import catalog as C
-from meshlark.plans.fixtures import cte, query, view
+from meshlark.plans.fixtures import VIEWS, cte, query, view
 from meshlark.plans.mesh_queries import rounded, tidy, whole
 
 VOLUME = 32768.0
@@ -102,13 +102,28 @@ def adaptive(df):
     return C.adaptive_quantiles(df, F.floor(F.col("m") / 250.0), "conc", least=600)
 
 
-@query("O03_adaptive_bins")
+def adaptive_sql(source: str) -> str:
+    """Bins one after another: a state is a range of fine bins and a width, which widens until the range has 600 rows."""
+    cols = ", ".join(f"max(conc) FILTER (rk = floor({q}e0 * n) + 1) AS q{round(100 * q)}" for q in C.QUANTILES)
+    return f"""WITH RECURSIVE src AS (SELECT id, conc, CAST(floor(m / 250e0) AS BIGINT) AS fine FROM ({source}) s0),
+fine AS (SELECT r.b, coalesce(c.n, 0) AS n FROM (SELECT unnest(range((SELECT min(fine) FROM src), (SELECT max(fine) FROM src) + 1)) AS b) r LEFT JOIN (SELECT fine, count(*) AS n FROM src GROUP BY fine) c ON r.b = c.fine),
+one AS (SELECT list(n_to ORDER BY b) AS upto, min(b) AS first, max(b) AS last FROM (SELECT b, sum(n) OVER (ORDER BY b) AS n_to FROM fine) f),
+walk AS (SELECT first AS lo, first AS hi, 1e0 AS width FROM one WHERE first IS NOT NULL
+  UNION ALL SELECT CASE WHEN full_ THEN hi + 1 ELSE lo END, least(last, CASE WHEN full_ THEN hi + greatest(CAST(round(width) AS BIGINT), 1) ELSE lo + CAST(round(width * 1.5e0) AS BIGINT) - 1 END), CASE WHEN full_ THEN width ELSE width * 1.5e0 END
+    FROM (SELECT w.*, o.last, (upto[hi - first + 1] - CASE WHEN lo > first THEN upto[lo - first] ELSE 0 END >= 600 OR hi >= last) AS full_ FROM walk w, one o) q WHERE NOT (full_ AND hi >= last)),
+edges AS (SELECT lo AS low, max(hi) AS high FROM walk GROUP BY lo)
+SELECT low, high, {whole('n')} AS n, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY low ORDER BY conc, id) AS rk, count(*) OVER (PARTITION BY low) AS n FROM src JOIN edges ON fine BETWEEN low AND high) b WHERE n > 10 GROUP BY low, high, n"""
+
+
+HALOS_SQL = VIEWS["halos"]
+
+
+@query("O03_adaptive_bins", adaptive_sql(HALOS_SQL))
 def o03(spark, d):
-    """Bins depend on each other's counts in sequence, so a test holds them against a plain loop."""
     return adaptive(halos(spark, d))
 
 
-@query("O05_adaptive_bins_relaxed")
+@query("O05_adaptive_bins_relaxed", adaptive_sql(f"SELECT * FROM ({HALOS_SQL}) h0 WHERE {RELAXED}"))
 def o05(spark, d):
     return adaptive(halos(spark, d).where(RELAXED))
 

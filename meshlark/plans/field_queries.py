@@ -70,11 +70,29 @@ def s28(spark, d):
     return density(spark, d, SMALL).where((F.col("i") == 8) & (F.col("j") == 8)).select("k", "val")
 
 
-@query("N04_growth")
+RATE3 = "pow(x * sqrt(0.3e0 / (x*x*x) + 0.7e0), -3e0)"
+
+
+@query("N04_growth", f"""SELECT a, {tidy('2.5e0 * 0.3e0 * sqrt(0.3e0 / (a*a*a) + 0.7e0) * s')} AS growth, {tidy('2 / (3 * sqrt(0.7e0)) * asinh(sqrt(0.7e0 / 0.3e0) * pow(a, 1.5e0))')} AS age FROM (SELECT a, sum(w * CASE WHEN x > 0 THEN {RATE3} ELSE 0e0 END) * a / 6000 AS s FROM
+(SELECT i / 20e0 AS a, i / 20e0 * j / 2000 AS x, CASE WHEN j = 0 OR j = 2000 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT unnest(range(1, 21)) AS i) i_, (SELECT unnest(range(0, 2001)) AS j) j_, (SELECT count(*) FROM region) r) q GROUP BY a) t""")
 def n04(spark, d):
+    """The growth factor by quadrature, and the age, which in a flat universe has a closed form."""
     c = cosmology.Cosmology()
-    rows = [(a / 20, cosmology.growth(c, a / 20), cosmology.growth_ode(c, a / 20, 500), cosmology.age(c, a / 20)) for a in range(1, 21)]
-    return spark.createDataFrame(rows, "a double, growth double, growth_ode double, age double")
+    rows = [(a / 20, cosmology.growth(c, a / 20), cosmology.age(c, a / 20)) for a in range(1, 21)]
+    return spark.createDataFrame(rows, "a double, g double, t double").select("a", rounded(F.col("g")).alias("growth"), rounded(F.col("t")).alias("age"))
+
+
+RHS = lambda y0, y1, n: f"(-(2 - 0.9e0 / exp(3 * ({n})) / (2 * (0.3e0 / exp(3 * ({n})) + 0.7e0))) * ({y1}) + 0.45e0 / exp(3 * ({n})) / (0.3e0 / exp(3 * ({n})) + 0.7e0) * ({y0}))"
+
+
+@query("N05_growth_equation", f"""WITH RECURSIVE walk AS (SELECT i / 4e0 AS a, ln(1e-4) AS n, (ln(i / 4e0) - ln(1e-4)) / 500 AS h, 1e-4 AS y0, 1e-4 AS y1, 0 AS step FROM (SELECT unnest(range(1, 5)) AS i) i_, (SELECT count(*) FROM region) r UNION ALL
+  SELECT a, n + h, h, y0 + h/6 * (y1 + 2*b1 + 2*c1 + d1), y1 + h/6 * (a2 + 2*b2 + 2*c2 + {RHS('y0 + h*c1', 'd1', 'n + h')}), step + 1 FROM (SELECT *, y1 + h*c2 AS d1 FROM (SELECT *, {RHS('y0 + h/2*b1', 'c1', 'n + h/2')} AS c2 FROM (SELECT *, y1 + h/2*b2 AS c1 FROM (SELECT *, {RHS('y0 + h/2*y1', 'b1', 'n + h/2')} AS b2 FROM (SELECT *, y1 + h/2*a2 AS b1 FROM (SELECT *, {RHS('y0', 'y1', 'n')} AS a2 FROM walk WHERE step < 500) k1) k2) k3) k4) k5) k6)
+SELECT a, {tidy('y0')} AS growth FROM walk WHERE step = 500""")
+def n05(spark, d):
+    """The growth factor by steps of Runge and Kutta, 500 from a = 1e-4."""
+    c = cosmology.Cosmology()
+    rows = [(a / 4, cosmology.growth_ode(c, a / 4, 500)) for a in range(1, 5)]
+    return spark.createDataFrame(rows, "a double, g double").select("a", rounded(F.col("g")).alias("growth"))
 
 
 @query("N07_spectrum_table")
@@ -91,9 +109,38 @@ def r02(spark, d):
     return view(spark, d, "halos").select("id", S.normal(F.col("id"), 3).alias("g"))
 
 
-@query("R04_seed_table")
+NEXT = f"(({{s}}) * {random.MULTIPLIER} + {random.INCREMENT}) % {random.MODULUS}"
+
+
+@query("R01_sequential_numbers", f"WITH RECURSIVE walk AS (SELECT 0 AS n, CAST(1298302 AS BIGINT) AS s UNION ALL SELECT n + 1, {NEXT.format(s='s')} FROM walk WHERE n < (SELECT least(count(*), 2000) FROM orders)) SELECT CAST(n AS BIGINT) AS n, s AS state, s / 2147483648e0 AS x FROM walk WHERE n > 0")
+def r01(spark, d):
+    """Numbers of the sequential generator, each by a jump to its place."""
+    n = view(spark, d, "halos").select((F.col("id") + 1).alias("n")).where("n <= 2000")
+    return n.select("n", random.sequential_state(1298302, F.col("n")).alias("state"), random.sequential(1298302, F.col("n")).alias("x"))
+
+
+FIVE = "1.5491933e0 * (sum(x) - 2.5e0)"
+
+
+@query("R01_sequential_normals", f"WITH RECURSIVE walk AS (SELECT 0 AS n, CAST(77 AS BIGINT) AS s UNION ALL SELECT n + 1, {NEXT.format(s='s')} FROM walk WHERE n < 1000) SELECT g AS n, {tidy('x * (1 - 0.01e0 * (3 - x*x))', 8)} AS x FROM (SELECT CAST((n - 1) // 5 + 1 AS BIGINT) AS g, {FIVE} AS x FROM (SELECT n, s / 2147483648e0 AS x FROM walk WHERE n > 0) w GROUP BY 1) q, (SELECT count(*) FROM region) r")
+def r01_normals(spark, d):
+    n = spark.range(1, 201).select(F.col("id").alias("n"))
+    return n.select("n", rounded(random.sequential_normal(77, F.col("n")), 8).alias("x"))
+
+
+def jumps(bits: int = 12) -> str:
+    """A state after m steps, a bit of m in each nested query."""
+    q = f"SELECT n, one AS s, 2357 + CAST(trunc(CAST(one AS FLOAT) / CAST({random.MODULUS} AS FLOAT) * CAST(137 AS FLOAT)) AS BIGINT) + 1 AS m FROM (SELECT n, {NEXT.format(s='s')} AS one FROM walk WHERE n < 50) o"
+    for b in range(bits):
+        a, c = random._jump(1 << b)
+        q = f"SELECT n, m, CASE WHEN (m >> {b}) & 1 = 1 THEN (s * {a} + {c}) % {random.MODULUS} ELSE s END AS s FROM ({q}) b{b}"
+    return q
+
+
+@query("R04_seed_table", f"WITH RECURSIVE walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(1298302 AS BIGINT) AS s UNION ALL SELECT n + 1, s FROM ({jumps()}) j) SELECT w.n, s AS seed FROM walk w, (SELECT count(*) FROM region) r WHERE w.n > 0")
 def r04(spark, d):
-    return spark.createDataFrame(list(enumerate(random.seeds(1, 100))), "n long, seed long")
+    """Seeds far apart in the sequence, by jumps."""
+    return spark.createDataFrame([(i + 1, s) for i, s in enumerate(random.seed_table(50))], "n long, seed long")
 
 
 # ---- text: the driver's log as lines

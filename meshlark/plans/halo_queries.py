@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+from math import pi
 
 from pyspark.sql import functions as F
 
 from meshlark.functions import cosmology
+from meshlark.functions.storage import cut
 from meshlark.operators import catalog as C
 from meshlark.operators import halos as H
 from meshlark.operators import mesh as M
 from meshlark.operators import spectra as S
-from meshlark.plans.fixtures import N, cte, query, view
+from meshlark.plans.file_queries import bisected, masses_sql
+from meshlark.plans.fixtures import VIEWS, N, cte, query, view
 from meshlark.plans.join_queries import BOX, image
-from meshlark.plans.mesh_queries import SMALL, density, exact, particles, rounded, tidy, whole
+from meshlark.plans.mesh_queries import SMALL, density, exact, particles, pdf_sql, rounded, tidy, whole
+from meshlark.plans.spectra_queries import power_sql, tidy_power
 from meshlark.streaming import evolve as E
 
 EDGES = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
@@ -129,39 +132,60 @@ def h08(spark, d):
     return p.select("halo", "n", "mass", *[rounded(F.col(c), 5).alias(c) for c in ("xoff", "spin", "virrat", "radrms")])
 
 
-@query("H09_axis_ratios")
+# eigenvalues of the symmetric tensor in closed form: the mean of the diagonal, the spread around it, and an angle
+cte("tensor", "SELECT *, (txx + tyy + tzz) / 3 AS q, sqrt(((txx - q)*(txx - q) + (tyy - q)*(tyy - q) + (tzz - q)*(tzz - q) + 2*(txy*txy + txz*txz + tyz*tyz)) / 6) AS p FROM sums", "sums")
+cte("angles", "SELECT *, acos(least(greatest(((txx - q)*((tyy - q)*(tzz - q) - tyz*tyz) - txy*(txy*(tzz - q) - tyz*txz) + txz*(txy*tyz - (tyy - q)*txz)) / (2*p*p*p), -1e0), 1e0)) / 3 AS phi FROM tensor WHERE p > 0", "tensor")
+cte("axes", f"SELECT halo, sqrt(greatest(3*q - e1 - e3, 0e0) / e1) AS ba, sqrt(greatest(e3, 0e0) / e1) AS ca FROM (SELECT halo, q, q + 2*p*cos(phi) AS e1, q + 2*p*cos(phi + {2 * pi / 3!r}e0) AS e3 FROM angles) a", "angles")
+
+
+@query("H09_axis_ratios", f"SELECT halo, {tidy('ba', 3)} AS ba, {tidy('ca', 3)} AS ca FROM axes", "axes")
 def h09(spark, d):
-    return H.axis_ratios(H.moments(bound(spark, d)))
+    out = H.axis_ratios(H.moments(bound(spark, d))).where("ba IS NOT NULL AND NOT isnan(ba)")
+    return out.select("halo", rounded(F.col("ba"), 3).alias("ba"), rounded(F.col("ca"), 3).alias("ca"))
+
+
+over = "greatest(sqrt(s.r2 / s.mass) / r.rvir - 0.4e0, 0e0)"
+
+
+@query("H09_steepened_axes", "SELECT a.halo, " + ", ".join(f"{tidy(f'pow({x}, 1 + 2 * {over} + pow({c}e0 * {over}, 3e0))', 3)} AS {x}" for x, c in (("ba", 5.7), ("ca", 5.5))) + " FROM axes a JOIN sums s ON a.halo = s.halo JOIN radii r ON a.halo = r.halo WHERE r.rvir > 0", "axes", "sums", "radii")
+def h09_steepened(spark, d):
+    """Ratios to powers that grow with the rms radius over the halo's."""
+    sums = cut(H.moments(bound(spark, d)))
+    out = H.axis_ratios(sums).where("ba IS NOT NULL AND NOT isnan(ba)").join(sums.select("halo", "r2", "mass"), "halo").join(radii(spark, d).where("rvir > 0"), "halo")
+    out = H.steepened(out, F.sqrt(F.col("r2") / F.col("mass")) / F.col("rvir"))
+    return out.select("halo", rounded(F.col("ba"), 3).alias("ba"), rounded(F.col("ca"), 3).alias("ca"))
+
 
+LOSS = 0.05
 
-@query("H10_peak_and_radius", f"SELECT p.halo, {tidy('mvir/rvir')} AS v2vir FROM radii p WHERE rvir IS NOT NULL", "radii")
+
+@query("H10_peak_and_radius", f"SELECT halo, {tidy(f'x.v2 / (1 - {LOSS}e0 / r)')} AS v2max, x.radius AS rmax FROM (SELECT halo, max_by({{'v2': v2, 'radius': radius}}, (v2, -shell)) FILTER (seen = 0) AS x, coalesce(max(radius) FILTER (falls = 1), min(radius)) AS r FROM (SELECT *, sum(falls) OVER (PARTITION BY halo ORDER BY shell DESC) AS seen FROM (SELECT *, enclosed/radius AS v2, CASE WHEN enclosed/radius < lag(enclosed/radius) OVER (PARTITION BY halo ORDER BY shell DESC) THEN 1 ELSE 0 END AS falls FROM profiles) a) b GROUP BY halo) c", "profiles")
 def h10(spark, d):
-    return radii(spark, d).where("rvir IS NOT NULL").select("halo", rounded(F.col("mvir") / F.col("rvir")).alias("v2vir"))
+    """The highest enclosed mass over radius, from outside in, with the loss by resolution made up for, and its radius."""
+    return H.peak_and_radius(cut(profiles(spark, d)), LOSS).select("halo", rounded(F.col("v2max")).alias("v2max"), "rmax")
+
 
+RATIO = "(0.2162166e0 * X / (ln(1 + X) - X / (1 + X)))"
 
-@query("H11_concentration")
+
+@query("H11_concentration", f"WITH RECURSIVE src AS (SELECT id, (vcirc / 1000e0 + 0.5e0) * (vcirc / 1000e0 + 0.5e0) AS target FROM ({VIEWS['halos']}) s0), " + bisected("2.1626e0", "1e4", RATIO, "target", True, 80) + f" SELECT s.id, CASE WHEN s.target >= 1 THEN {tidy('x', 5)} END AS conc FROM src s JOIN roots r ON s.id = r.id")
 def h11(spark, d):
     """Concentrations of the halos view's circular velocities over a thousand."""
-    return view(spark, d, "halos").select("id", H.concentration_of(F.col("vcirc") / 1000.0 + 0.5).alias("conc"))
+    conc = H.concentration_of(F.col("vcirc") / 1000.0 + 0.5)
+    return view(spark, d, "halos").select("id", conc.alias("c")).select("id", F.when(~F.isnan("c"), rounded(F.col("c"), 5)).alias("conc"))
 
 
-@query("H16_mass_at_overdensity")
+@query("H16_mass_at_overdensity", masses_sql({"m500": 2.5, "m200": 1.0}, "h.m", 4))
 def h16(spark, d):
     h = view(spark, d, "halos")
-    return h.select("id", *[(F.col("m") * H.mass_ratio_at("conc", F.lit(r))).alias(n) for n, r in (("m500", 2.5), ("m200", 1.0))])
-
-
-def checkpoints(spark):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return h.select("id", *[rounded(F.col("m") * H.mass_ratio_at("conc", F.lit(r)), 4).alias(n) for n, r in (("m500", 2.5), ("m200", 1.0))])
 
 
 @query("H01_finder")
 def h01(spark, d):
     """The whole chain, from peaks of the mesh to a catalog without contained halos."""
-    checkpoints(spark)
     top = M.peaks(density(spark, d, SMALL), 0.125, SMALL)
-    centres = top.select((F.col("i") + SMALL * (F.col("j") + SMALL * F.col("k").cast("long"))).alias("id"), *[((F.col(c) - 1) * (N / SMALL)).alias(a) for c, a in zip("ijk", "xyz", strict=True)], F.col("val").alias("m"))
+    centres = top.select((F.col("i") + SMALL * (F.col("j") + SMALL * F.col("k").cast("long"))).alias("id"), *[((F.col(c) - 1) * (N / SMALL)).alias(a) for c, a in zip("ijk", "xyz", strict=True)], F.col("val").alias("density"))
     return H.find(centres, points0(spark, d), EDGES, BOX, 1.0, mean_density(spark, d), STRENGTH)
 
 
@@ -199,22 +223,30 @@ def started(spark):
 @query("T01_evolution")
 def t01(spark, d):
     """Two steps from initial conditions."""
-    checkpoints(spark)
     return E.run(started(spark), SMALL, E.Clock(0.1, 0, 0.01), 2, 0.3)[0]
 
 
-@query("T06_analysis")
+@query("T06_analysis", f"SELECT 'power' AS kind, bin, n_modes AS n, p0 AS value FROM ({tidy_power('', power_sql('modes32'), '')}) p UNION ALL SELECT 'density', bin, n, rho FROM ({pdf_sql('mesh')}) d", "modes32", "mesh")
 def t06(spark, d):
-    checkpoints(spark)
+    """Power and distribution of density, from one mesh."""
     out = E.analyse(particles(spark, d), N, 250.0)
-    return out["power"].select(F.lit("power").alias("kind"), "bin", F.col("n_modes").alias("n"), F.col("p0").alias("value")).unionByName(out["density"].select(F.lit("density").alias("kind"), "bin", "n", F.col("rho").alias("value")))
+    return out["power"].select(F.lit("power").alias("kind"), "bin", F.col("n_modes").alias("n"), rounded(F.col("p0"), 3).alias("value")).unionByName(out["density"].select(F.lit("density").alias("kind"), "bin", "n", rounded(F.col("rho")).alias("value")))
+
+
+Z, COUNT, WIDTH = (2.5, 1.0, 0.5), 150, 60
+AWAY = ", ".join(f"coalesce(min(CASE WHEN was > {z}e0 AND z <= {z}e0 THEN least(was - {z}e0, {z}e0 - z) END), 1e3) AS d{i}" for i, z in enumerate(Z))
 
 
-@query("O07_schedule_search")
+@query("O07_schedule_search", f"""WITH RECURSIVE grid AS (SELECT 0.008e0 + i * 0.0005e0 AS a0, 0.0001e0 + j * 0.00001e0 AS da0 FROM (SELECT unnest(range(0, 20)) AS i) i_, (SELECT unnest(range(0, 20)) AS j) j_, (SELECT count(*) FROM region) r),
+walk AS (SELECT a0, da0, 0 AS n, a0 AS a, da0 AS da FROM grid UNION ALL SELECT a0, da0, n + 1, a + nd, nd FROM (SELECT *, CASE WHEN da < da0 / a0 / 1.25e0 * a AND a < 0.5e0 THEN 1.5e0 * da ELSE da END AS nd FROM walk WHERE a <= 1) q),
+steps AS (SELECT a0, da0, n, 1 / a - 1 AS z, lag(1 / a - 1) OVER (PARTITION BY a0, da0 ORDER BY n) AS was FROM walk WHERE n > 0),
+tried AS (SELECT a0, da0, CAST(max(n) AS BIGINT) AS steps, {AWAY} FROM steps GROUP BY a0, da0)
+SELECT {tidy('a0', 8)} AS a, {tidy('da0', 8)} AS da, steps, {tidy('error', 5)} AS error FROM (SELECT *, d0 / 0.02e0 + d1 / 0.01e0 + d2 / 0.0003e0 + 10 * exp(pow((steps - {COUNT}) / {WIDTH}e0, 2)) AS error FROM tried WHERE steps > {COUNT - WIDTH} AND steps < {COUNT + WIDTH} AND a0 > 0.005e0 AND a0 < 0.02e0) q ORDER BY error, a0, da0 LIMIT 1""")
 def o07(spark, d):
-    """Of starts and first steps, those whose schedule is nearest to a hundred steps."""
-    a, da, n = E.tune([0.02, 0.03, 0.05], [0.0005, 0.001, 0.002, 0.004], 0.0625, 100)
-    return spark.createDataFrame([(a, da, n)], "a double, da double, steps long")
+    """Of a grid of starts and first steps, the one whose steps come nearest to three redshifts in about 150 steps."""
+    grid = spark.range(400).select((0.008 + F.floor(F.col("id") / 20) * 0.0005).alias("a"), (0.0001 + F.col("id") % 20 * 0.00001).alias("da"))
+    best = E.tune(grid, Z, COUNT, WIDTH)
+    return best.select(rounded(F.col("a"), 8).alias("a"), rounded(F.col("da"), 8).alias("da"), "steps", rounded(F.col("error"), 5).alias("error"))
 
 
 @query("N02_sigma_of_mass")

@@ -105,3 +105,23 @@ def j06(spark, d):
     h = heavy(spark, d)
     out = R.recentre(h, h, 1.0, BOX, 1.0)
     return out.select("id", *[rounded(F.col(c)).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")], "n")
+
+
+REACH = "greatest(0.5e0, least(2e0, log10(a.density + 10) / 2))"
+cte("settle0", "SELECT id, x, y, z, m / 1000e0 AS density FROM heavy", "heavy")
+for _p in range(1, 5):
+    _wrapped = ", ".join(f"CASE WHEN x{c} >= {BOX} THEN x{c} - {BOX} WHEN x{c} < 0 THEN x{c} + {BOX} ELSE x{c} END AS {c}" for c in "xyz")
+    cte(
+        f"settle{_p}",
+        f"SELECT id, density, {_wrapped}, wx, wy, wz, n FROM (SELECT h.id, h.density, " + ", ".join(f"coalesce(h.{c} + d{c}, h.{c}) AS x{c}" for c in "xyz")
+        + f", q.wx, q.wy, q.wz, q.n FROM settle{_p - 1} h LEFT JOIN (SELECT a.id, {means}, count(*) AS n FROM settle{_p - 1} a JOIN heavy b ON {D2} < {REACH} * {REACH} GROUP BY a.id HAVING count(*) >= 2) q ON h.id = q.id) s",
+        f"settle{_p - 1}", "heavy",
+    )
+
+
+@query("J06_settled_centres", "SELECT id, " + ", ".join(f"{tidy(c)} AS {c}" for c in "xyz") + ", " + ", ".join(f"{tidy(f'coalesce(w{c}, 0e0)')} AS v{c}" for c in "xyz") + f", {whole('coalesce(n, 0)')} AS n FROM settle4", "settle4")
+def j06_settled(spark, d):
+    """Four passes, each to the mean of the points within a reach that grows with the density."""
+    h = heavy(spark, d)
+    out = R.settle(h.withColumn("density", F.col("m") / 1000.0), h, 1.0, BOX)
+    return out.select("id", *[rounded(F.col(c)).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")], "n")
