@@ -102,6 +102,33 @@ def runge_kutta(rhs: Callable[[float, np.ndarray], np.ndarray], a: float, b: flo
     return out
 
 
+# Nodes and weights of the fifth-order step of Cash and Karp and of the fourth-order step within it.
+NODES = ((), (1 / 5,), (3 / 40, 9 / 40), (3 / 10, -9 / 10, 6 / 5), (-11 / 54, 5 / 2, -70 / 27, 35 / 27), (1631 / 55296, 175 / 512, 575 / 13824, 44275 / 110592, 253 / 4096))
+FIFTH = (37 / 378, 0, 250 / 621, 125 / 594, 0, 512 / 1771)
+FOURTH = (2825 / 27648, 0, 18575 / 48384, 13525 / 55296, 277 / 14336, 1 / 4)
+
+
+def adaptive_steps(rhs: Callable[[float, np.ndarray], np.ndarray], a: float, b: float, y: np.ndarray, tolerance: float = 1e-8, first: float | None = None) -> list[tuple[float, np.ndarray]]:
+    """Steps from a to b (a < b) whose error, by two orders, stays below the tolerance times the largest component; all states."""
+    t, y, h = a, np.asarray(y, float), first or (b - a) / 100
+    out = [(t, y)]
+    while t < b:
+        h = min(h, b - t)
+        k: list[np.ndarray] = []
+        for row in NODES:
+            k.append(np.asarray(rhs(t + h * sum(row), y + h * sum((w * x for w, x in zip(row, k, strict=True)), np.zeros_like(y))), float))
+        high = y + h * sum(w * x for w, x in zip(FIFTH, k, strict=True))
+        low = y + h * sum(w * x for w, x in zip(FOURTH, k, strict=True))
+        scale = max(np.abs(y).max(), np.abs(high).max(), 1e-300)
+        error = float(np.abs(high - low).max() / (tolerance * scale))
+        if error <= 1 or h <= 1e-14 * (b - a):
+            t = b if h == b - t else t + h
+            y = high
+            out.append((t, y))
+        h *= min(5.0, max(0.2, 0.9 * max(error, 1e-10) ** -0.2))
+    return out
+
+
 @dataclass(frozen=True)
 class PowerTable:
     """A spectrum tabulated in equal steps of ln k, with slopes 1 below and -3 above the table."""

@@ -10,7 +10,7 @@ from meshlark.plans.mesh_queries import SMALL, density, exact, near_sql, rounded
 from meshlark.operators import mesh as M
 from meshlark.operators import spectra as S
 from meshlark.sources import text
-from meshlark.streaming import relax
+from meshlark.streaming import blocks, relax
 
 G, MASS, Q = 0.125, 0.5, 0.25
 near = near_sql("state16", M.OFFSETS_6, SMALL).replace("val AS near", "u AS near")
@@ -54,6 +54,48 @@ for _name, _model, _kind in (
     query(_name)(solved(_model, _kind))
 
 
+FR = relax.CurvatureGravity(cells=SMALL, f0=-1e-4)
+LEVEL = blocks.Level(SMALL, 8)
+
+
+def operator_sql(fields: str, n: int, dx: float) -> str:
+    """L u of the quadratic model over fields (i, j, k, rho, u)."""
+    g, m, q = (repr(x) + ("" if "e" in repr(x) else "e0") for x in FR.factors(dx))
+    around = near_sql(fields, M.OFFSETS_6, n).replace("val AS near", "u AS near")
+    return f"SELECT m.i, m.j, m.k, rho, u, (s - 6*u - {g}*rho - {m} + {q}/u) / {dx * dx}e0 AS lu FROM {fields} m JOIN (SELECT i, j, k, sum(near) AS s FROM ({around}) o GROUP BY i, j, k) a ON m.i = a.i AND m.j = a.j AND m.k = a.k"
+
+
+cte("fr16", "SELECT i, j, k, val AS rho, 0.001e0 * (1e0 + (i*7 + j*3 + k) % 5 / 8e0) AS u FROM mesh16_q", "mesh16_q")
+cte("fr16_l", operator_sql("fr16", SMALL, 1.0), "fr16")
+HALVED = "SELECT CAST((i + 1) // 2 AS INTEGER) AS i, CAST((j + 1) // 2 AS INTEGER) AS j, CAST((k + 1) // 2 AS INTEGER) AS k, avg(rho) AS rho, avg(u) AS u, avg(-lu) AS r FROM fr16_l GROUP BY 1, 2, 3"
+cte("fr8", HALVED, "fr16_l")
+cte("fr8_l", operator_sql("fr8", SMALL // 2, 2.0), "fr8")
+
+
+@query("X03_restricted_residual", f"SELECT l.i, l.j, l.k, {tidy('r * 1e3', 6)} AS residual, {tidy('(lu + r) * 1e3', 6)} AS wanted FROM fr8_l l JOIN fr8 f ON l.i = f.i AND l.j = f.j AND l.k = f.k", "fr8", "fr8_l")
+def x03(spark, d):
+    """By blocks: the residual restricted, and what is wanted of the level below (X04)."""
+    own = exact(density(spark, d, SMALL))
+    u = 0.001 * (1.0 + F.pmod(F.col("i") * 7 + F.col("j") * 3 + F.col("k"), F.lit(5)) / 8.0)
+    state = blocks.of_mesh(own, LEVEL, 0.0).drop("u").join(blocks.of_mesh(own.select("i", "j", "k", u.alias("val")), LEVEL, 0.0).select("b", F.col("rho").alias("u")), "b")
+    out = blocks.restricted_residual(state, LEVEL, FR)
+    return out.select("i", "j", "k", *[rounded(F.col(c) * 1e3).alias(c) for c in ("residual", "wanted")])
+
+
+SOLVED = {"fr": relax.CurvatureGravity(cells=SMALL), "brane": relax.BraneWorld(), "symmetron": relax.Symmetron(cells=SMALL), "kinetic": relax.KineticScreening(cells=SMALL), "coupled": relax.CoupledScalar(cells=SMALL)}
+
+
+@query("X05_solved_fields", " UNION ALL ".join(f"SELECT '{m}' AS model, CAST({SMALL**3} AS BIGINT) AS n, 0e0 AS rms FROM (SELECT count(*) FROM region) r" for m in SOLVED))
+def x05(spark, d):
+    """Of each model's solved field the rms residual, rounded to 1e-6: the equation holds at all nodes."""
+    mesh, out = density(spark, d, SMALL), None
+    for name, model in SOLVED.items():
+        field = relax.scalar_field(mesh, SMALL, model, "V")
+        row = field.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), rounded(F.sqrt(F.avg(F.col("residual") * F.col("residual")))).alias("rms"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("X12_fifth_force", f"SELECT m.i, m.j, m.k, m.val + 0.5e0 * (s.u*s.u) AS val FROM mesh16_q m JOIN state16 s ON m.i = s.i AND m.j = s.j AND m.k = s.k", "mesh16_q", "state16")
 def x12(spark, d):
     return relax.add_fifth_force(exact(density(spark, d, SMALL)), state(spark, d).select("i", "j", "k", F.col("u").alias("val")), 0.5, 2)

@@ -137,12 +137,12 @@ def s12(spark, d):
     return text.read_galaxies(spark, path).select("x", "y", "z", "vx", "vy", "vz", "dens")
 
 
-@query("S14_power_table", "SELECT CAST(i AS DOUBLE) AS i, pow(2e0, i / 8e0 - 10) AS k, 100e0 + i AS p, 0.3e0 AS omega_m FROM (SELECT DISTINCT l_partkey % 64 AS i FROM lineitem) q")
+@query("S14_power_table", "SELECT CAST(i AS DOUBLE) AS i, floor(pow(2e0, i / 8e0 - 10) * 1e9 + 0.5e0) / 1e9 AS k, 100e0 + i AS p, 0.3e0 AS omega_m FROM (SELECT DISTINCT l_partkey % 64 AS i FROM lineitem) q")
 def s14(spark, d):
     """A table of power with a header of cosmology; its steps in ln k must be equal."""
     rows = sorted(r[0] for r in spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey") % 64).distinct().collect())  # 64
     pairs, table = text.parse_table("Om = 0.3\nsigma8 = 0.8\n" + "\n".join(f"{2 ** (i / 8 - 10)!r} {100.0 + i}" for i in rows))
-    return spark.createDataFrame([(float(i), k, p, pairs["om"]) for i, (k, p) in zip(rows, table, strict=True)], "i double, k double, p double, omega_m double")
+    return spark.createDataFrame([(float(i), k, p, pairs["om"]) for i, (k, p) in zip(rows, table, strict=True)], "i double, k double, p double, omega_m double").withColumn("k", rounded(F.col("k"), 9))
 
 
 RUN_LINES = [0.0099, 4e-4, 0.13, 1000.5, 0.81, 0.7, 0.31, 0.69, 0.048, 1001, 2002, 1298302, 0.49, 7.5e10, 100.0, 0.0, 30.0, 0.5, 3, "2.5 1.0 0.0", 2, 0.25, 0.75]

@@ -5,17 +5,21 @@ A step deposits particles, solves for the potential, kicks by its gradient and d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.functions.storage import cut
 from meshlark.operators import mesh as M
 from meshlark.operators import spectra as S
+from meshlark.sources.text import PHASES
+from meshlark.streaming import relax as X
 
 
 @dataclass(frozen=True)
@@ -110,19 +114,82 @@ def energies(points: DataFrame) -> DataFrame:
     return points.agg((F.sum(v2) / 2).alias("ekin"), F.count(F.lit(1)).alias("n"))
 
 
-def step(points: DataFrame, n: int, clock: Clock, omega_m: float) -> DataFrame:
-    """One step of gravity alone, kept in the checkpoint folder."""
-    potential = S.potential(M.deposit(points, n), n, 1.5 * omega_m / clock.a)
+@dataclass(frozen=True)
+class FifthForce:
+    """A scalar field in the loop: its model, factor and power in the potential, and friction of velocities, by a."""
+
+    model: Callable[[float], X.Model]
+    factor: Callable[[float], float]
+    power: int = 1
+    kind: str = "V"
+    friction: Callable[[float], float] = lambda a: 1.0
+
+
+class Timing:
+    """Minutes by phase of a step; a phase's result is written before the phase ends, so that it holds its own work."""
+
+    def __init__(self):
+        self.minutes = dict.fromkeys(PHASES, 0.0)
+
+    @contextmanager
+    def phase(self, name: str):
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            took = (time.perf_counter() - began) / 60
+            self.minutes[name] += took
+            self.minutes["total"] += took
+
+    def line(self, step: int) -> str:
+        """A line of a timing log; the next step begins from zero."""
+        out = f"{step:5d}" + "".join(f"{self.minutes[p]:13.4f}" for p in PHASES)
+        self.minutes = dict.fromkeys(PHASES, 0.0)
+        return out
+
+
+def step(points: DataFrame, n: int, clock: Clock, omega_m: float, fifth: FifthForce | None = None, timing: Timing | None = None) -> DataFrame:
+    """One step, kept in the checkpoint folder: gravity, and a scalar field's force beside it if one is given."""
+    timing = timing or Timing()
+    with timing.phase("density"):
+        density = cut(M.deposit(points, n))
+    with timing.phase("force"):
+        potential = cut(S.potential(density, n, 1.5 * omega_m / clock.a))
+    friction = 1.0
+    if fifth is not None:
+        with timing.phase("field"):
+            field = X.scalar_field(density, n, fifth.model(clock.a), fifth.kind)
+            potential = cut(X.add_fifth_force(potential, field, fifth.factor(clock.a), fifth.power))
+        friction = fifth.friction(clock.a)
     rate = (omega_m / clock.a**3 + 1 - omega_m) ** 0.5 * clock.a  # da / dt
-    return cut(move(points, potential, n, clock.da / rate, clock.da / (rate * clock.a**2)))
+    with timing.phase("move"):
+        return cut(move(points, potential, n, clock.da / rate, clock.da / (rate * clock.a**2), friction))
+
+
+def save(points: DataFrame, clock: Clock, path: str) -> None:
+    """A state from which a run goes on: particles as Parquet, and beside them the clock, written last."""
+    points.write.mode("overwrite").parquet(f"{path}/particles")
+    points.sparkSession.createDataFrame([(clock.a, clock.step, clock.da)], "a double, step int, da double").write.mode("overwrite").parquet(f"{path}/clock")
+
 
+def resume(spark: SparkSession, path: str) -> tuple[DataFrame, Clock]:
+    a, at, da = spark.read.parquet(f"{path}/clock").first()
+    return spark.read.parquet(f"{path}/particles"), Clock(a, at, da)
 
-def run(points: DataFrame, n: int, clock: Clock, steps: int, omega_m: float, each=None, every: int = 0) -> tuple[DataFrame, Clock]:
-    """Steps from a state; each(points, clock) is called after every so many, to write or to measure."""
+
+def run(points: DataFrame, n: int, clock: Clock, steps: int, omega_m: float, each=None, every: int = 0, fifth: FifthForce | None = None, log: list[str] | None = None) -> tuple[DataFrame, Clock]:
+    """Steps from a state; each(points, clock) is called after every so many, to write or to measure.
+
+    log gets a timing line a step.  A run that saved its state goes on from resume(path) as if it hadn't ended.
+    """
+    timing = Timing()
     for _ in range(steps):
-        points, clock = step(points, n, clock, omega_m), clock.advanced()
+        points, clock = step(points, n, clock, omega_m, fifth, timing), clock.advanced()
         if each is not None and every and clock.step % every == 0:
-            each(points, clock)
+            with timing.phase("io"):
+                each(points, clock)
+        if log is not None:
+            log.append(timing.line(clock.step))
     return points, clock
 
 

@@ -3,8 +3,8 @@
 A model states an operator of the field whose zero is wanted, and a smoother that solves it node by node for one parity.
 On a coarse level the wanted value isn't zero but L(R u) - R r, so that a solved fine level leaves the coarse one as it is.
 
-Levels are dense arrays.  A mesh of up to LARGEST cells along an axis, a fixed bound, is solved in one task; sweeps of
-larger ones are joins of a node with its neighbours (`sweep_quadratic`), a parity at a time.
+Levels are dense arrays.  A mesh of up to LARGEST cells along an axis, a fixed bound, is solved in one task; larger ones
+are rows of blocks that exchange their margins, with the same result (`blocks`).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from meshlark.functions.cosmology import runge_kutta
 from meshlark.operators import mesh as M
 
-LARGEST = 128
+LARGEST = 64
 LIGHT = 2997.92458  # c / (100 km/s)
 
 
@@ -52,24 +52,28 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 
 @dataclass
 class Model:
-    """operator(u, rho, dx), and solved(u, rho, wanted, dx): the nodes' values that make the operator as wanted."""
+    """operator(u, rho, dx), and solved(u, rho, wanted, dx): the nodes' values that make the operator as wanted.
+
+    A balanced model takes the mean of its source out: the mean that is given, or that of the arrays.
+    """
 
     om: float = 0.3
     a: float = 1.0
     positive: bool = False
+    balanced: bool = False
 
     def start(self) -> float:
         return 0.0
 
-    def operator(self, u, rho, dx):
+    def operator(self, u, rho, dx, mean=None):
         raise NotImplementedError
 
     def derivative(self, u, rho, dx):
         raise NotImplementedError
 
-    def solved(self, u, rho, wanted, dx):
+    def solved(self, u, rho, wanted, dx, mean=None):
         """One Newton step."""
-        return u - (self.operator(u, rho, dx) - wanted) / self.derivative(u, rho, dx)
+        return u - (self.operator(u, rho, dx, mean) - wanted) / self.derivative(u, rho, dx)
 
 
 @dataclass
@@ -96,13 +100,13 @@ class CurvatureGravity(Model):
         f = dx * dx * self.per_dx2
         return f * self.om / self.a, f * self.mass, f * self.mass * self.start()
 
-    def operator(self, u, rho, dx):
+    def operator(self, u, rho, dx, mean=None):
         """Laplacian of u**(n+1) less its source; rho is the density's contrast."""
         g, m, q = self.factors(dx)
         p = u ** (self.n + 1)
         return (six(p) - 6 * p - g * rho - m + q / u) / (dx * dx)
 
-    def solved(self, u, rho, wanted, dx):
+    def solved(self, u, rho, wanted, dx, mean=None):
         g, m, q = self.factors(dx)
         linear = (g * rho + m + wanted * dx * dx - six(u ** (self.n + 1))) / 6
         if self.n == 0:  # u**2 + linear u - q / 6 = 0
@@ -129,11 +133,11 @@ class Symmetron(Model):
     def factor(self, dx):
         return (self.a * dx * self.box / self.cells / self.range_) ** 2 / 2
 
-    def operator(self, u, rho, dx):
+    def operator(self, u, rho, dx, mean=None):
         f = self.factor(dx)
         return (six(u) - 6 * u - f * (((self.a_break / self.a) ** 3 * (1 + rho) - 1) * u + u**3)) / (dx * dx)
 
-    def solved(self, u, rho, wanted, dx):
+    def solved(self, u, rho, wanted, dx, mean=None):
         f = self.factor(dx)
         p = (self.a_break / self.a) ** 3 * (1 + rho) - 1 + 6 / f
         q = (wanted * dx * dx - six(u)) / f
@@ -160,6 +164,7 @@ class BraneWorld(Model):
 
     crossing: float = 1.0
     normal: bool = True
+    balanced: bool = True
 
     def __post_init__(self):
         orc = 1 / (4 * self.crossing**2)
@@ -169,12 +174,15 @@ class BraneWorld(Model):
         self.beta = 1 + root if self.normal else -root
         self.alpha = 3 * self.beta * self.a**2 * 4 * orc
 
-    def operator(self, u, rho, dx):
+    def source(self, u, rho, dx):
         c = [curvature(u, axis) for axis in range(3)]
         s = sum(x * x for x in c) - sum(c[i] * c[j] for i, j in PAIRS)
         s = (s * 2 / 3 + sum(cross(u, i, j) ** 2 for i, j in PAIRS) / 8) / dx**4 + self.alpha * self.om / self.beta / self.a * rho
-        source = 0.75 * (np.sign(self.alpha) * np.sqrt(np.maximum(self.alpha**2 + 8 / 3 * s, 0)) - self.alpha)
-        return sum(c) / dx**2 - (source - source.mean())
+        return 0.75 * (np.sign(self.alpha) * np.sqrt(np.maximum(self.alpha**2 + 8 / 3 * s, 0)) - self.alpha)
+
+    def operator(self, u, rho, dx, mean=None):
+        source = self.source(u, rho, dx)
+        return (six(u) - 6 * u) / dx**2 - (source - (source.mean() if mean is None else mean))
 
     def derivative(self, u, rho, dx):
         return -6.0 / dx**2
@@ -198,7 +206,7 @@ class CoupledScalar(Model):
         v1 = -self.power * self.lambda2 * self.a**2 / phi ** (1 + self.power)
         return phi, a1, v1, c2
 
-    def operator(self, u, rho, dx):
+    def operator(self, u, rho, dx, mean=None):
         _, a1, v1, _ = self.terms(u, rho)
         _, a0, v0, _ = self.terms(0.0, 0.0)
         return (six(u) - 6 * u) / dx**2 - 3 * self.om / self.a * (a1 * (1 + rho) - a0) - (v1 - v0)
@@ -232,7 +240,7 @@ class KineticScreening(Model):
         extra = -gamma * (self.n - 1) * 2 * c * grad2 ** (self.n - 2) * shear
         return weight, (3 * self.strength * self.om / self.a * rho + extra) / c
 
-    def operator(self, u, rho, dx):
+    def operator(self, u, rho, dx, mean=None):
         weight, source = self.parts(u, rho, dx)
         return (six(u) - 6 * u) / dx**2 - source / weight
 
@@ -272,7 +280,7 @@ def relax(model: Model, u, rho, wanted, dx, sweeps: int = 2):
 
 def cycle(model: Model, u, rho, wanted, dx: float = 1.0, kind: str = "V", smallest: int = 4):
     """One V, F or W cycle."""
-    if len(u) <= smallest:
+    if len(u) <= smallest or len(u) % 2:
         return relax(model, u, rho, wanted, dx, 8)
     u = relax(model, u, rho, wanted, dx)
     rho2, u2 = restricted(rho), restricted(u)
@@ -301,15 +309,27 @@ def solve(model: Model, rho: np.ndarray, kind: str = "V", most: int = 12, enough
         u = cycle(model, u, rho, zero, kind=kind)
         out.residuals.append(float(np.sqrt(np.mean(model.operator(u, rho, 1.0) ** 2))))
         out.field = u
-        if out.residuals[-1] <= enough or (k >= 2 and out.residuals[-1] > 0.995 * out.residuals[-2]):
+        if settled(out.residuals, k, enough):
             break
     return out
 
 
+def settled(residuals: list[float], k: int, enough: float) -> bool:
+    """Whether cycles end: the residual is small enough; or, after two cycles, it fell by under 0.5 %, or twice by under 1 %."""
+    if residuals[-1] <= enough:
+        return True
+    if k < 2:
+        return False
+    falls = [after / before for before, after in zip(residuals, residuals[1:], strict=False)]
+    return falls[-1] > 0.995 or all(f > 0.99 for f in falls[-2:])
+
+
 def scalar_field(mesh: DataFrame, n: int, model: Model, kind: str = "V", most: int = 12) -> DataFrame:
-    """(i, j, k, val, residual) of a dense mesh (i, j, k, val) of at most LARGEST cells along an axis."""
+    """(i, j, k, val, residual) of a dense mesh (i, j, k, val): in one task up to LARGEST cells along an axis, else by blocks."""
     if n > LARGEST:
-        raise ValueError(f"a mesh of more than {LARGEST} cells along an axis isn't solved in one task")
+        from meshlark.streaming import blocks
+
+        return blocks.solve(mesh, n, model, kind, most)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rho, seen = np.zeros((n, n, n)), False

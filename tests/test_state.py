@@ -12,7 +12,7 @@ from meshlark.operators import halos as H
 from meshlark.operators import rangejoin as R
 from meshlark.plans.fixtures import view
 from meshlark.sources import snapshot, text
-from meshlark.streaming import evolve, relax
+from meshlark.streaming import blocks, evolve, relax
 
 MODELS = [relax.CurvatureGravity(cells=16), relax.CurvatureGravity(n=1, cells=16), relax.CurvatureGravity(n=2, cells=16), relax.BraneWorld(), relax.Symmetron(cells=16), relax.KineticScreening(cells=16), relax.CoupledScalar(cells=16)]
 
@@ -30,6 +30,44 @@ def test_cycles_converge(model, rho, kind):
     assert s.residuals[-1] < 1e-7 and all(b < a for a, b in zip(s.residuals, s.residuals[1:], strict=False))
 
 
+@pytest.mark.parametrize("model", MODELS, ids=lambda m: type(m).__name__)
+@pytest.mark.parametrize("kind", "VF")
+def test_blocks_equal_one_task(spark, model, kind, rho):
+    """A cycle by blocks of 8 cells, on two levels above the one that is solved whole, is the cycle of the whole mesh."""
+    if kind == "F" and type(model).__name__ not in ("Symmetron", "BraneWorld"):
+        pytest.skip("two models are enough for the order of levels")
+    n = 32
+    mesh = np.tile(rho, (2, 2, 2)) + np.random.default_rng(5).normal(size=(n, n, n)) * 0.1
+    mesh -= mesh.mean()
+    i, j, k = (x.ravel() + 1 for x in np.indices(mesh.shape))
+    df = spark.createDataFrame(list(zip(i.tolist(), j.tolist(), k.tolist(), mesh.ravel().tolist(), strict=True)), "i int, j int, k int, val double")
+    got, told = blocks.solve(df, n, model, kind, most=1, level=blocks.Level(n, 16), whole=8)
+    want = relax.solve(model, mesh, kind, most=1)
+    assert abs(told[0] / want.residuals[0] - 1) < 1e-6
+    u = np.zeros(mesh.shape)
+    for r in got.collect():
+        u[r["i"] - 1, r["j"] - 1, r["k"] - 1] = r["val"]
+    scale = np.abs(want.field).max()
+    assert np.abs(u - want.field).max() < 1e-9 * scale
+
+
+def test_narrow_blocks_relax_in_several_steps(spark, rho):
+    """Four sweeps need wider margins than blocks of 4 cells have."""
+    model, level = relax.CurvatureGravity(cells=16), blocks.Level(16, 4)
+    i, j, k = (x.ravel() + 1 for x in np.indices(rho.shape))
+    df = spark.createDataFrame(list(zip(i.tolist(), j.tolist(), k.tolist(), rho.ravel().tolist(), strict=True)), "i int, j int, k int, val double")
+    state = blocks.smooth(blocks.of_mesh(df, level, model.start()), level, model, 4)
+    u = np.zeros(rho.shape)
+    for r in blocks.to_mesh(state.select("b", "u", F.col("wanted").alias("residual")), level).collect():
+        u[r["i"] - 1, r["j"] - 1, r["k"] - 1] = r["val"]
+    want = relax.relax(model, np.full(rho.shape, model.start()), rho, np.zeros(rho.shape), 1.0, 4)
+    assert np.allclose(u, want, rtol=1e-12)
+
+
+def test_sides_of_blocks():
+    assert (blocks.first_level(2000).side, blocks.first_level(256).side, blocks.first_level(96).side, blocks.first_level(7).side) == (80, 64, 96, 7)
+
+
 def test_a_solution_stays(rho):
     model = relax.CurvatureGravity(cells=16)
     u = relax.solve(model, rho, enough=1e-15).field
@@ -84,6 +122,33 @@ def test_steps_keep_particles_and_a_lattice_at_rest(spark):
     assert end.count() == 512 and end.agg(F.max(F.abs("vx"))).first()[0] < 1e-9
 
 
+def test_a_run_goes_on_where_it_was_saved(spark, tmp_path):
+    """Two steps at once, or one, a restart from files and another; with a scalar field and friction."""
+    points = spark.range(512).select("id", *[(1 + (F.col("id") * p % 1024) / 128.0).alias(a) for a, p in zip("xyz", (7, 11, 13), strict=True)], *[(F.col("id") % q / 64.0).alias(v) for v, q in (("vx", 5), ("vy", 3), ("vz", 2))])
+    fifth = evolve.FifthForce(lambda a: relax.CoupledScalar(a=a, cells=8), lambda a: 0.01 / a, friction=lambda a: 1 - 0.1 * a)
+    clock, path, log = evolve.Clock(0.1, 0, 0.01), str(tmp_path / "state"), []
+    save = lambda p, c: evolve.save(p, c, path)
+    end, _ = evolve.run(points, 8, clock, 2, 0.3, fifth=fifth, log=log)
+    evolve.run(points, 8, clock, 1, 0.3, save, 1, fifth)
+    back, at = evolve.resume(spark, path)
+    assert at == evolve.Clock(0.11, 1, 0.01)
+    again, last = evolve.run(back, 8, at, 1, 0.3, fifth=fifth)
+    want = {r["id"]: r for r in end.collect()}
+    assert last.step == 2 and all(abs(r[c] - want[r["id"]][c]) < 1e-9 for r in again.collect() for c in ("x", "y", "z", "vx", "vy", "vz"))
+    plain = {r["id"]: r["vx"] for r in evolve.run(points, 8, clock, 2, 0.3)[0].collect()}
+    assert max(abs(plain[i] - want[i]["vx"]) for i in want) > 1e-6
+    rows = text.parse_timing(spark.createDataFrame([(x,) for x in log], "value string")).orderBy("step").collect()
+    assert [r["step"] for r in rows] == [1, 2] and all(abs(r["total"] - r["density"] - r["force"] - r["move"] - r["field"] - r["io"]) < 1e-3 and r["field"] > 0 for r in rows)
+
+
+def test_steps_by_error():
+    rows = K.adaptive_steps(lambda t, y: np.array([y[1], -y[0]]), 0.0, 20.0, np.array([0.0, 1.0]), 1e-9)
+    assert abs(rows[-1][0] - 20) < 1e-12 and all(abs(y[0] - np.sin(t)) < 1e-6 for t, y in rows)
+    stiff = K.adaptive_steps(lambda t, y: np.array([-2 * t * y[0]]), -6.0, 6.0, np.array([np.exp(-36.0)]), 1e-8)
+    steps = np.diff([t for t, _ in stiff])
+    assert abs(stiff[-1][1][0] / np.exp(-36.0) - 1) < 1e-4 and steps.max() > 2 * steps.min()
+
+
 def test_schedule():
     s = evolve.schedule(0.1, 0.001, 0.05)
     assert s[0] == (0, 0.1, 0.001) and s[-1][1] < 1 <= s[-1][1] + s[-1][2] and max(x[2] for x in s) > 0.001
