@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +122,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def portions(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most so many rows and bytes of a string column; a longer text is a slice of its own."""
+    length = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    end = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        last = max(int(np.searchsorted(end, end[at] + size, side="right")) - 1, at + 1)
+        last = min(last, at + rows, batch.num_rows)
+        yield batch.slice(at, last - at)
+        at = last
+
+
 class Words:
     """Hashes of the words of texts: hash[doc_start[d]:doc_start[d + 1]] belong to text d."""
 

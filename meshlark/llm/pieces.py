@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.llm._common import table
+from meshlark.llm._common import portions, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
@@ -170,8 +170,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
         is_byte = np.zeros(len(own.bytes), bool)
         is_byte[own.vocabulary.byte_ids] = True
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in portions(batch, 1):
                 texts = part.column(1).to_pylist()
                 ids = [own.encode(t) for t in texts]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

@@ -6,7 +6,8 @@ expanded to 16-bit PCM as mu-law and as A-law by 256-entry tables made from the
 in blocks of 64 bytes (header: predictor, index; then 120 nibbles), all blocks of a chunk at once: numpy steps along a
 block, across blocks.  The mu-law PCM is resampled to 16 kHz and kept as 16-bit little-endian bytes.
 
-A row's payload is taken in chunks of whole blocks, so memory doesn't grow with a text's length beyond the text itself.
+A row's payload is decoded in chunks of whole blocks.  Texts are taken in portions of bounded bytes; beyond that a row
+holds its payload and stored file, and its PCM, of four times the payload, only where the stored files are kept.
 
 Cases: a null text is an empty one, whose payload is 64 zero bytes.  Equal texts give equal values.  Repeated rows are
 kept.  Output columns replace others of their names in the query; an empty table gives an empty result.
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.llm._common import table
+from meshlark.llm._common import portions, table
 
 BLOCK = 64
 RATE = 8000
@@ -131,18 +132,18 @@ def read_wav(stored: bytes) -> tuple[int, int, bytes]:
     raise ValueError("no data in WAVE file")
 
 
-def _digest(n: int, mulaw: int, alaw: int, adpcm: int, peak: int, crossings: int, crc: int, pcm: bytes) -> tuple[str, bytes]:
+def _digest(n: int, mulaw: int, alaw: int, adpcm: int, peak: int, crossings: int, crc: int, pcm_crc: int, pcm: bytes | None) -> tuple[str, bytes | None]:
     digest = (
         f"samples={n};mulaw_power={mulaw // n};alaw_power={alaw // n};adpcm_power={adpcm // (121 * (n // BLOCK))};"
-        f"peak={peak};crossings={crossings};adpcm_crc32={crc:08x};pcm16k_crc32={zlib.crc32(pcm):08x}"
+        f"peak={peak};crossings={crossings};adpcm_crc32={crc:08x};pcm16k_crc32={pcm_crc:08x}"
     )
-    return digest, store_wav(pcm, PCM, 2 * RATE, 16)
+    return digest, None if pcm is None else store_wav(pcm, PCM, 2 * RATE, 16)
 
 
-def features(payload: bytes) -> tuple[str, bytes]:
-    """A digest of all decodings, and the resampled PCM (16 kHz, 16 bits) as a stored file, chunk by chunk."""
+def features(payload: bytes, keep: bool = True) -> tuple[str, bytes | None]:
+    """A digest of all decodings, and, if kept, the resampled PCM (16 kHz, 16 bits) as a stored file, chunk by chunk."""
     data = np.frombuffer(payload, np.uint8)
-    power, crossings, peak, crc, before, pcm = np.zeros(3, np.int64), 0, 0, 0, 0, []
+    power, crossings, peak, crc, pcm_crc, before, pcm = np.zeros(3, np.int64), 0, 0, 0, 0, 0, []
     for at in range(0, len(data), CHUNK):
         part = data[at : at + CHUNK]
         mu, ad = MULAW_PCM[part], decode_adpcm(part)
@@ -151,16 +152,19 @@ def features(payload: bytes) -> tuple[str, bytes]:
         crossings += int(np.count_nonzero(sign[1:] != sign[:-1])) + bool(at and (before < 0) != sign[0])
         peak = max(peak, int(np.abs(mu.astype(np.int32)).max()))
         crc = zlib.crc32(ad.astype("<i2").tobytes(), crc)
-        pcm.append(resample_double(mu, before).astype("<i2").tobytes())
+        part_pcm = resample_double(mu, before).astype("<i2").tobytes()
+        pcm_crc = zlib.crc32(part_pcm, pcm_crc)
+        if keep:
+            pcm.append(part_pcm)
         before = int(mu[-1])
-    return _digest(len(data), *map(int, power), peak, crossings, crc, b"".join(pcm))
+    return _digest(len(data), *map(int, power), peak, crossings, crc, pcm_crc, b"".join(pcm) if keep else None)
 
 
 def _power(x: np.ndarray) -> int:
     return int(np.square(x.astype(np.int64)).sum())
 
 
-def features_together(payloads: list[bytes]) -> list[tuple[str, bytes]]:
+def features_together(payloads: list[bytes], keep: bool = True) -> list[tuple[str, bytes | None]]:
     """features of each payload, decoded on end: their blocks and samples don't depend on each other."""
     data = np.frombuffer(b"".join(payloads), np.uint8)
     ends = np.cumsum([len(x) for x in payloads])
@@ -178,7 +182,7 @@ def features_together(payloads: list[bytes]) -> list[tuple[str, bytes]]:
     pcm[2 * starts] = mu[starts] >> 1
     pcm = pcm.astype("<i2").tobytes()
     return [
-        _digest(e - s, *(int(x[i]) for x in power), int(peak[i]), int(crossings[i]), zlib.crc32(ad[s // BLOCK : e // BLOCK]), pcm[4 * s : 4 * e])
+        _digest(e - s, *(int(x[i]) for x in power), int(peak[i]), int(crossings[i]), zlib.crc32(ad[s // BLOCK : e // BLOCK]), zlib.crc32(pcm[4 * s : 4 * e]), pcm[4 * s : 4 * e] if keep else None)
         for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))
     ]
 
@@ -187,8 +191,8 @@ COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 l
 MEDIA = COLUMNS + ", media binary, pcm binary"
 
 
-def media_rows(texts: list[str | None]) -> list[tuple]:
-    """The columns of MEDIA of each text."""
+def media_rows(texts: list[str | None], keep: bool = True) -> list[tuple]:
+    """The columns of MEDIA of each text; without keep the stored files are left out (null)."""
     held = []
     for text in texts:
         payload, n = payload_of(text)
@@ -196,15 +200,15 @@ def media_rows(texts: list[str | None]) -> list[tuple]:
         tag, rate, back = read_wav(stored)
         if tag != MULAW or rate != RATE:
             raise ValueError("a stored file changed its format")
-        held.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), stored, back))
+        held.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), stored if keep else None, back))
     found: list = []
     group: list[bytes] = []
     for *_, back in [*held, (b"",)]:
         if group and (not back or sum(map(len, group)) + len(back) > CHUNK):
-            found += features_together(group)
+            found += features_together(group, keep)
             group = []
         if len(back) > CHUNK:
-            found.append(features(back))
+            found.append(features(back, keep))
         elif back:
             group.append(back)
     return [(*x[:6], digest, x[6], pcm) for x, (digest, pcm) in zip(held, found, strict=True)]
@@ -217,9 +221,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                rows = [x[:width] for x in media_rows(part.column(1).to_pylist())]
+            for part in portions(batch, 1, 128):
+                rows = [x[:width] for x in media_rows(part.column(1).to_pylist(), keep_media)]
                 names = [c.split()[0] for c in MEDIA.split(", ")[:width]]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(list(x)) for x in zip(*rows, strict=True)]], [key, *names])
 

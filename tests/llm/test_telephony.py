@@ -58,3 +58,4 @@ def test_chunks_and_groups_agree(monkeypatch):
     assert whole[0] == whole[4]
     monkeypatch.setattr(T, "CHUNK", 128)
     assert T.media_rows(texts) == whole
+    assert [x[:7] for x in T.media_rows(texts, keep=False)] == [x[:7] for x in whole]
