@@ -6,6 +6,8 @@ context restaurant.  A sweep redraws the number of tables of every (context, wor
 the other cells of the sweep before (the usual approximation of parallel samplers), and then those of the parent.  A
 text's score is the log10 probability of its words and end, with predictive probabilities averaged over SAMPLES sweeps.
 
+Discounts are estimated for each level from its cells of one and of two customers.
+
   cells of one customer have one table; cells of up to EXACT customers are drawn from the exact conditional, by
   generalised Stirling numbers; larger ones from the balance of tables that open and close, which approaches it.
 
@@ -15,19 +17,19 @@ triples.  Shards exchange only totals by context, vectors of CONTEXTS numbers, w
 words have more than its share of the corpus is scored by several tasks.  The number of shards follows the input's.
 
 Cases: a null or empty text is its end alone.  Null ids and repeated rows are scored each; an id that is null is learned
-from as the id ''.  A word's hash of 64 bits stands for it.  Very long texts are whole, though their tokens are held
+from as the id ''.  Ids may be of any type that has a text.  A word's hash of 64 bits stands for it.  Very long texts are whole, though their tokens are held
 together with those of the texts around them.  Columns that clash with outputs are replaced.  Empty tables stay empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.llm._common import input_partitions, materialize, mix, scan_words, table, utf8
@@ -43,6 +45,10 @@ STRENGTH = 1.0
 #: Tokens that a task holds before it passes them on.
 HELD = 2 << 20
 SLICES = 64
+#: The kind of rows that ask, behind the model (0) and its states (1 and on).
+REQUEST = 1 << 20
+#: Bytes of a shard's counts beyond which they are merged: a word has CONTEXTS cells at most, however often it occurs.
+FOLDED = 32 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -218,7 +224,7 @@ def build(counts: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         customers, singles = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
-        for shard, blobs in by_group(batches, 0, 1):
+        for shard, blobs in by_group(batches, 0, 1, lambda own: count_blob(*cells_of(own))):
             word, place, context, n = cells_of(blobs)
             many = n > 1
             total = np.bincount(place, weights=n, minlength=len(word)).astype(np.int64)
@@ -228,7 +234,7 @@ def build(counts: DataFrame, shards: int) -> DataFrame:
             per = np.bincount(place, minlength=len(word))
             model = pack(word, small(total), small(per), (context & 0xFFFF).astype(np.uint16), (context >> 16).astype(np.uint8), np.packbits(many))
             state = pack(small(once), place[many].astype(np.uint32), context[many].astype(np.uint32), small(n[many]), np.ones(int(many.sum()), np.uint8), np.zeros(0))
-            numbers = pack(np.array([total.sum(), len(word), (n == 1).sum(), (n == 2).sum(), len(n)], np.int64))
+            numbers = pack(np.array([total.sum(), len(word), (n == 1).sum(), (n == 2).sum(), len(n), (per == 1).sum(), (per == 2).sum()], np.int64))
             yield rows_of([("model", shard, model), ("state", shard, state), ("numbers", shard, numbers)])
         yield rows_of(list(slices("contexts", customers, singles)))
 
@@ -236,16 +242,29 @@ def build(counts: DataFrame, shards: int) -> DataFrame:
     return spread.mapInArrow(run, "kind string, shard long, blob binary")
 
 
-def by_group(batches: Iterator[pa.RecordBatch], key: int, value: int) -> Iterator[tuple[int, list]]:
+def count_blob(word: np.ndarray, place: np.ndarray, context: np.ndarray, n: np.ndarray) -> bytes:
+    """Counted cells, in order of word and context, as gather_counts packs them."""
+    per = np.bincount(place, minlength=len(word))
+    return pack(word, small(per), (context & 0xFFFF).astype(np.uint16), (context >> 16).astype(np.uint8), small(n))
+
+
+def by_group(batches: Iterator[pa.RecordBatch], key: int, value: int, fold: Callable | None = None) -> Iterator[tuple[int, list]]:
+    """The values of each run of a key; with fold, values of over FOLDED bytes are made one before more are held."""
     held: list = []
     now = None
+    size = 0
     for batch in batches:
         for k, v in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist(), strict=True):
             if k != now and held:
                 yield now, held
-                held = []
+                held, size = [], 0
             now = k
             held.append(v)
+            if fold is not None:
+                size += len(v)
+                if size > FOLDED and len(held) > 1:
+                    held = [fold(held)]
+                    size = min(len(held[0]), FOLDED // 2)  # so that folding's cost stays a share of what is read
     if held:
         yield now, held
 
@@ -395,19 +414,19 @@ def fit(docs: DataFrame, shards: int, sweeps: int = SWEEPS, samples: int = SAMPL
     """docs: (text, learned)."""
     built = materialize(build(gather_counts(docs, shards), shards))
     of = lambda df, kind: df.where(F.col("kind") == kind).select("shard", "blob")
-    numbers = _sum_numbers(built) or [0] * 5
+    numbers = _sum_numbers(built) or [0] * 7
     load = np.zeros(shards, np.int64)
     for r in of(built, "numbers").toLocalIterator():
         load[r["shard"]] = unpack(r["blob"])[0][0]
     customers, singles = total_slices(of(built, "contexts"), 2)
-    d = _discount(numbers[2], numbers[3])
-    totals = Totals(customers, singles + np.maximum((customers - singles) // 4, 0), max(numbers[4], 1), max(numbers[1], 1), numbers[1], (d, d))
+    discounts = _discount(numbers[2], numbers[3]), _discount(numbers[5], numbers[6])  # of contexts, by their cells; of the parent, by words' cells
+    totals = Totals(customers, singles + np.maximum((customers - singles) // 4, 0), max(numbers[4], 1), max(numbers[1], 1), numbers[1], discounts)
     state = of(built, "state")
     states, held = [], []
     for k in range(sweeps):
         after = materialize(sweep(state, totals, seed * 1000 + k))
         root = _sum_numbers(after) or [0, 0]
-        totals = Totals(customers, singles + total_slices(of(after, "contexts"), 1)[0], root[0], root[1], numbers[1], (d, d))
+        totals = Totals(customers, singles + total_slices(of(after, "contexts"), 1)[0], root[0], root[1], numbers[1], discounts)
         state = of(after, "state")
         if k >= sweeps - samples:
             states.append(state)
@@ -444,7 +463,7 @@ def requests(docs: DataFrame, shards: int, slots: list[list[int]], key: str) ->
             found[0].append(slots[s][flush % len(slots[s])])
             found[1].append(blob)
         n = len(found[0])
-        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array([9] * n, pa.int32()), pa.array([flush] * n, pa.int64()), pa.array(found[1], pa.binary())], ["slot", "kind", "flush", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array([REQUEST] * n, pa.int32()), pa.array([flush] * n, pa.int64()), pa.array(found[1], pa.binary())], ["slot", "kind", "flush", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -534,7 +553,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                     key |= low.astype(np.int64) | high.astype(np.int64) << 16
                     known = {"word": word, "total": total, "key": key, "many": np.unpackbits(many, count=len(place)).astype(bool), "root": [], "seats": []}
                     del place, low, high
-                elif kind < 9:
+                elif kind < REQUEST:
                     once, at, _, n, t, root = unpack(blob)
                     totals = shared.value[kind - 1][0]
                     seats = np.full(len(known["key"]), 1 - totals.discounts[0])
@@ -569,7 +588,15 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Learns from the rows whose crc32 of the id, as text, isn't divisible by 10, and scores all rows."""
-    held = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):  # scored by row, and joined with the keys after
+        rows = materialize(docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).withColumn("__row", F.monotonically_increasing_id()))
+        scored = _scored(rows, "__row", "text", F.col("__key"))
+        return rows.select("__row", F.col("__key").alias(key)).join(scored, "__row").drop("__row")
+    return _scored(docs, key, text, F.col(key))
+
+
+def _scored(docs: DataFrame, key: str, text: str, name: Column) -> DataFrame:
+    held = F.crc32(F.coalesce(name.cast("string"), F.lit("")).cast("binary")) % 10 == 0
     own = docs.select(F.col(key), F.col(text).alias("text"), held.alias("held"), (~held).alias("learned"))
     shards = max(4, input_partitions(docs))
     model = fit(own, shards)

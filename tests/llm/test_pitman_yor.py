@@ -1,9 +1,11 @@
 import math
+import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from meshlark.llm import pitman_yor as Y
 from tests.llm.conftest import prose
@@ -96,11 +98,123 @@ def sum_after(model, df, context, vocabulary):
 
 
 def hash_of(tokens):
-    import pyarrow as pa
-
     return np.concatenate([w[:-1] for w, *_ in Y.tokens_of(pa.array(tokens))])
 
 
+def test_ids_of_other_types(spark):
+    """Text ids: the same scores as the numbers that they write."""
+    rows = [(i, prose(i % 7, 30)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {str(r["doc_id"]): tuple(r)[1:] for r in Y.score_documents(df).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in Y.score_documents(df.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text")).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+class Plain:
+    """The same hierarchy, seated customer by customer: tables as lists of their sizes."""
+
+    def __init__(self, texts, discounts, seed):
+        self.d, self.random = discounts, random.Random(seed)
+        self.tokens = [(u, w) for t in texts for u, w in zip([None, *words(t)], [*words(t), None], strict=True)]
+        self.size = len({w for _, w in self.tokens})
+        self.tables, self.root = defaultdict(list), defaultdict(list)  # by (context, word), by word
+        self.of_context = defaultdict(lambda: [0, 0])  # customers and tables
+        self.of_root = [0, 0]
+        for u, w in self.tokens:
+            self.sit(u, w)
+
+    def p_root(self, w):
+        own = self.root[w]
+        return (sum(own) - self.d[1] * len(own) + (1 + self.d[1] * self.of_root[1]) / (self.size + 1)) / (1 + self.of_root[0])
+
+    def p(self, u, w):
+        own, (c, t) = self.tables[u, w], self.of_context[u]
+        return (sum(own) - self.d[0] * len(own) + (1 + self.d[0] * t) * self.p_root(w)) / (1 + c)
+
+    def choose(self, sizes, discount, more):
+        x = self.random.random() * (sum(sizes) - discount * len(sizes) + more)
+        for i, n in enumerate(sizes):
+            x -= n - discount
+            if x < 0:
+                return i
+        return len(sizes)
+
+    def sit(self, u, w):
+        own, total = self.tables[u, w], self.of_context[u]
+        i = self.choose(own, self.d[0], (1 + self.d[0] * total[1]) * self.p_root(w))
+        total[0] += 1
+        if i < len(own):
+            own[i] += 1
+            return
+        own.append(1)
+        total[1] += 1
+        top = self.root[w]
+        j = self.choose(top, self.d[1], (1 + self.d[1] * self.of_root[1]) / (self.size + 1))
+        self.of_root[0] += 1
+        if j < len(top):
+            top[j] += 1
+        else:
+            top.append(1)
+            self.of_root[1] += 1
+
+    def leave(self, u, w):
+        own, total = self.tables[u, w], self.of_context[u]
+        i = self.random.choices(range(len(own)), own)[0]
+        own[i] -= 1
+        total[0] -= 1
+        if own[i]:
+            return
+        own.pop(i)
+        total[1] -= 1
+        top = self.root[w]
+        j = self.random.choices(range(len(top)), top)[0]
+        top[j] -= 1
+        self.of_root[0] -= 1
+        if not top[j]:
+            top.pop(j)
+            self.of_root[1] -= 1
+
+    def sweep(self):
+        for u, w in self.tokens:
+            self.leave(u, w)
+            self.sit(u, w)
+
+
+def test_scores_against_a_plain_sampler(spark):
+    """Average predictive probabilities of the parallel sweeps and of a sampler that moves a customer at a time."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.4)), 9)}" for _ in range(12)) for _ in range(40)]
+    probes = texts[:5] + ["w0 w1 w2 w3 w9", "never w0 seen", ""]
+    df = spark.createDataFrame([(i, t, False, True) for i, t in enumerate(texts)] + [(1000 + i, t, True, False) for i, t in enumerate(probes)], "doc_id long, text string, held boolean, learned boolean").coalesce(1)
+    model = Y.fit(df, 1, sweeps=30, samples=20)
+    got = {x["doc_id"]: x for x in Y.score(df.where("held"), model).collect()}
+    plain = Plain(texts, model.totals[-1].discounts, 1)
+    total = [[0.0] * (len(words(t)) + 1) for t in probes]
+    for k in range(600):
+        plain.sweep()
+        if k >= 100:
+            for row, t in zip(total, probes, strict=True):
+                for i, (u, w) in enumerate(zip([None, *words(t)], [*words(t), None], strict=True)):
+                    row[i] += plain.p(u, w) / 500
+    for i, row in enumerate(total):
+        want = sum(map(math.log10, row))
+        # parallel sweeps are an approximation, most of all of what is left for words that no text has
+        allowed = 0.08 if "never" in probes[i] else 0.03
+        assert abs(got[1000 + i]["score"] - want) < allowed * len(row), (i, got[1000 + i]["score"], want)
+
+
+def test_folded_counts_are_the_counts(spark, monkeypatch):
+    rows = [(prose(i % 9, 60), True) for i in range(80)]
+    df = spark.createDataFrame(rows, "text string, learned boolean").repartition(6)
+    blobs = [r["blob"] for r in Y.gather_counts(df, 1).collect()]
+    assert len(blobs) > 2
+    want = Y.cells_of(blobs)
+    batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(blobs)), pa.array(blobs, pa.binary())], ["k", "v"])]
+    monkeypatch.setattr(Y, "FOLDED", 100)
+    ((_, folded),) = Y.by_group(iter(batches), 0, 1, lambda own: Y.count_blob(*Y.cells_of(own)))
+    assert len(folded) < len(blobs) and all(np.array_equal(a, b) for a, b in zip(Y.cells_of(folded), want, strict=True))
+
+
 def test_stirling_numbers():
     s = np.exp(Y.log_stirling(0.5, 4))
     assert np.allclose(s[3, 1:4], [0.5 * 1.5, 1.5, 1]) and np.allclose(s[4, 4], 1) and np.allclose(s[4, 1], 0.5 * 1.5 * 2.5)
