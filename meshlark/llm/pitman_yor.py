@@ -297,8 +297,13 @@ def single_rate(discount: float) -> tuple[np.ndarray, np.ndarray]:
     return z * discount * (1 - z) ** (discount - 1) / q, discount * z / q
 
 
-def draw_tables(n: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, random: np.random.Generator) -> np.ndarray:
-    """Tables of cells of n customers: base is the parent's probability, others the restaurant's tables elsewhere."""
+def draw_tables(n: np.ndarray, base: np.ndarray | Callable, others: np.ndarray, discount: float, strength: float, random: np.random.Generator) -> np.ndarray:
+    """Tables of cells of n customers: base is the parent's probability, others the restaurant's tables elsewhere.
+
+    base: a number a cell, or a function of cells and of t (a column a number) that tells the probability of table t + 1
+    when t have been sent to the parent, where each makes the next one likelier.
+    """
+    chance = base if callable(base) else lambda own, t: np.broadcast_to(base[own][:, None], np.broadcast_shapes((len(own), 1), np.shape(t)))
     out = np.minimum(n, 1).astype(np.int64)
     stirling = log_stirling(discount, EXACT)
     order = np.argsort(n, kind="stable")
@@ -308,16 +313,16 @@ def draw_tables(n: np.ndarray, base: np.ndarray, others: np.ndarray, discount: f
         for at in range(0, len(cells), max((1 << 19) // c, 1)):
             own = cells[at : at + max((1 << 19) // c, 1)]
             more = np.log(strength + discount * (others[own][:, None] + np.arange(c)[None, :]))
-            weight = stirling[c, 1 : c + 1] + np.cumsum(more, axis=1) + np.arange(1, c + 1) * np.log(base[own])[:, None]
+            weight = stirling[c, 1 : c + 1] + np.cumsum(more + np.log(chance(own, np.arange(c)[None, :])), axis=1)
             out[own] = 1 + np.argmax(weight + random.gumbel(size=weight.shape), axis=1)
     large = order[bound[EXACT - 1] :]
     for at in range(0, len(large), 1 << 13):
         own = large[at : at + (1 << 13)]
-        out[own] = _draw_large(n[own].astype(np.float64), base[own], others[own], discount, strength, random)
+        out[own] = _draw_large(n[own].astype(np.float64), lambda sub, t, own=own: chance(own[sub], t), others[own], discount, strength, random)
     return out
 
 
-def _draw_large(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, random: np.random.Generator) -> np.ndarray:
+def _draw_large(c: np.ndarray, chance: Callable, others: np.ndarray, discount: float, strength: float, random: np.random.Generator) -> np.ndarray:
     """Tables of cells too large for exact conditionals, from the balance of tables that open and close.
 
     A customer is alone at its table with probability about q(c / t) (t - 1) / (c - 1), q being the share of tables with
@@ -330,7 +335,7 @@ def _draw_large(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount: f
         return np.interp(np.log(c[own, None] / t), log_mean, share) * (t - 1) / (c[own, None] - 1)
 
     def log_ratio(t: np.ndarray, own=slice(None)) -> np.ndarray:
-        opens = (strength + discount * (others[own, None] + t)) * base[own, None]
+        opens = (strength + discount * (others[own, None] + t)) * chance(own, t)
         closes = np.maximum(alone(t + 1, own) * (c[own, None] - 1 - discount * t), 1e-300)
         return np.log(np.maximum(1 - alone(t, own), 1e-300) * opens) - np.log(closes)
 
@@ -359,6 +364,20 @@ class Totals:
     def __init__(self, customers, tables, root_customers, root_tables, size, discounts):
         self.customers, self.tables, self.root_customers, self.root_tables, self.size, self.discounts = customers, tables, root_customers, root_tables, size, discounts
 
+    def next_table(self, customers: np.ndarray, tables: np.ndarray, fewer: np.ndarray) -> Callable:
+        """The parent's probability of a cell's table t + 1, after the cell's `fewer` tables left and t came back."""
+        d = self.discounts[1]
+        stay = np.maximum(customers - fewer, 0)
+        held, rest = np.minimum(tables, stay), np.maximum(self.root_customers - fewer, 0)
+        fresh = (STRENGTH + d * self.root_tables) / (self.size + 1)
+
+        def chance(own, t):
+            here = stay[own][:, None] + t
+            seats = np.maximum(here - d * np.maximum(held[own][:, None], np.minimum(here, 1)), 0.0)
+            return (seats + fresh) / (STRENGTH + rest[own][:, None] + t)
+
+        return chance
+
     def root(self, customers: np.ndarray, tables: np.ndarray, fewer: np.ndarray | int = 0) -> np.ndarray:
         """The parent's probability of words with these customers and tables, of which some customers left."""
         d = self.discounts[1]
@@ -380,7 +399,7 @@ def sweep(state: DataFrame, totals: Totals, seed: int) -> DataFrame:
             once, n, t = once.astype(np.int64), n.astype(np.int64), t.astype(np.int64)
             in_root = once + np.bincount(place, weights=t, minlength=len(once)).astype(np.int64)
             root = root.astype(np.int64) if len(root) else np.minimum(in_root, 1)
-            base = now.root(in_root[place], root[place], t)
+            base = now.next_table(in_root[place], root[place], t)
             t = draw_tables(n, base, np.maximum(now.tables[context] - t, 0), now.discounts[0], STRENGTH, random)
             in_root = once + np.bincount(place, weights=t, minlength=len(once)).astype(np.int64)
             flat = np.full(len(once), 1.0 / (now.size + 1))
