@@ -107,7 +107,8 @@ cte("bound", "SELECT q.*, p.phi FROM (SELECT i.*, i.vx - b.wx AS ux, i.vy - b.wy
 
 
 def bound(spark, d):
-    return H.bound(inside(spark, d), profiles(spark, d), STRENGTH)
+    own = cut(inside(spark, d))  # the range join once, for the profile, the mean motion and the members
+    return H.bound(own, H.profiles(own, EDGES), STRENGTH)
 
 
 @query("H07_bound_members", "SELECT halo, id, shell FROM bound", "bound")
