@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import pi
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from meshlark.functions import cosmology, random
@@ -224,3 +227,33 @@ def s09(spark, d):
 def s22(spark, d):
     h = view(spark, d, "halos").withColumns({"mbound": F.col("m"), "npart": F.col("id") % 40})
     return text.select_for_catalog(h, 5000.0, 1000.0, 32.0).select("id", "m")
+
+
+SINE = relax.CurvatureGravity(cells=SMALL, f0=-1e-4)
+WAVE = f"(1e0 + 0.1e0 * sin((k - 0.5e0) / {SMALL}e0 * 8 * pi()))"
+
+
+@query("S28_solved_slice", f"SELECT k, {tidy(f'{WAVE}', 4)} AS solved, {tidy(WAVE, 4)} AS analytic FROM (SELECT CAST(unnest(range(1, {SMALL + 1})) AS INTEGER) AS k) q, (SELECT count(*) FROM region) r")
+def s28_solved(spark, d):
+    """Along the third axis through the middle: the solved field over its background, beside the sine whose source is given."""
+    g, m, q = SINE.factors(1.0)
+    sine = lambda k: 1 + 0.1 * F.sin((k - 0.5) / SMALL * 8 * pi)
+    p = lambda k: SINE.background * sine(k)
+    k = F.col("k").cast("double")
+    rho = (p(k + 1) + p(k - 1) - 2 * p(k) - m + q / p(k)) / g
+    solved = relax.scalar_field(M.nodes(spark, SMALL).select("i", "j", "k", rho.alias("val")), SMALL, SINE, "V")
+    line = solved.where((F.col("i") == SMALL // 2) & (F.col("j") == SMALL // 2))
+    return line.select("k", rounded(F.col("val") / SINE.background, 4).alias("solved"), rounded(sine(k), 4).alias("analytic"))
+
+
+@query("X06_first_levels", " UNION ALL ".join(f"SELECT {n} AS n, {s} AS side FROM (SELECT count(*) FROM region) r" for n, s in ((64, 64), (96, 96), (256, 64), (2000, 80))))
+def x06(spark, d):
+    """Sides of the first level's blocks: those that halve most often, up to 96 cells."""
+    return spark.createDataFrame([(n, blocks.first_level(n).side) for n in (64, 96, 256, 2000)], "n int, side int")
+
+
+@query("X14_adaptive_steps", f"SELECT t, {tidy('sin(CAST(t AS DOUBLE))', 5)} AS y FROM (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS t) q, (SELECT count(*) FROM region) r")
+def x14(spark, d):
+    """An oscillator by steps whose length follows the error."""
+    rows = [(t, float(cosmology.adaptive_steps(lambda _, y: np.array([y[1], -y[0]]), 0.0, float(t), np.array([0.0, 1.0]), 1e-10)[-1][1][0])) for t in range(1, 21)]
+    return spark.createDataFrame(rows, "t int, v double").select("t", rounded(F.col("v"), 5).alias("y"))

@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import functions as F
 
 from meshlark.functions import cosmology
-from meshlark.functions.storage import cut
+from meshlark.functions.storage import cut, scratch
 from meshlark.operators import catalog as C
 from meshlark.operators import halos as H
 from meshlark.operators import mesh as M
@@ -17,6 +17,7 @@ from meshlark.plans.fixtures import VIEWS, N, cte, query, view
 from meshlark.plans.join_queries import BOX, image
 from meshlark.plans.mesh_queries import SMALL, density, exact, particles, pdf_sql, rounded, tidy, whole
 from meshlark.plans.spectra_queries import power_sql, tidy_power
+from meshlark.sources import text
 from meshlark.streaming import evolve as E
 
 EDGES = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
@@ -265,3 +266,25 @@ def n02(spark, d):
 
     bins = C.mass_function(view(spark, d, "halos"), 0.25, 32768.0).select("bin", "n", "mass_mean")
     return bins.mapInPandas(run, "bin long, n long, mass_mean double, sigma double, slope double")
+
+
+KEPT = 5.0
+
+
+@query("S23_written_profiles", f"SELECT h.halo, CAST(p.shell AS BIGINT) AS shell, p.radius, p.n, p.enclosed FROM (SELECT halo FROM radii WHERE mvir > {100 * KEPT}e0) h JOIN profiles p ON h.halo = p.halo WHERE p.n > 0 AND p.enclosed > {5 * KEPT}e0", "radii", "profiles")
+def s23(spark, d):
+    """Profiles of well-sampled halos, written a row a halo and read."""
+    own, path = cut(profiles(spark, d)), scratch(spark)
+    radii_ = H.overdensity_radius(own, 1.0, mean_density(spark, d))
+    text.write_profiles(own, radii_, path, KEPT)
+    return spark.read.parquet(path).select("halo", F.inline("shells")).select("halo", "shell", "radius", "n", "enclosed")
+
+
+@query("T05_resumed_state", "SELECT id, x + 1 AS x, y + 1 AS y, z + 1 AS z, vx, vy, vz, 0.25e0 AS a, 12 AS step FROM halos", "halos")
+def t05(spark, d):
+    """A state saved and resumed, with its clock."""
+    path = scratch(spark)
+    points = view(spark, d, "halos").select("id", *[(F.col(a) + 1).alias(a) for a in "xyz"], "vx", "vy", "vz")
+    E.save(points, E.Clock(0.25, 12, 0.01), path)
+    back, clock = E.resume(spark, path)
+    return back.withColumns({"a": F.lit(clock.a), "step": F.lit(clock.step)})
