@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from meshlark.llm._common import input_partitions, materialize, mix, scan_words, table, utf8
 
-CONTEXT_BITS = 18
+CONTEXT_BITS = 20
 CONTEXTS = 1 << CONTEXT_BITS
 END = np.uint64(0x5851F42D4C957F2D)
 SWEEPS, SAMPLES = 4, 2
