@@ -194,7 +194,7 @@ def slices(name: str, *vectors: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
     for i in range(SLICES):
         part = [v[i * size : (i + 1) * size] for v in vectors]
         if any(p.any() for p in part):
-            yield name, i, pack(*part)
+            yield name, i, pack(*map(small, part))
 
 
 def total_slices(rows: DataFrame, width: int) -> np.ndarray:
@@ -205,7 +205,7 @@ def total_slices(rows: DataFrame, width: int) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[i] = held.get(i, 0) + np.stack(unpack(blob))
+                held[i] = held.get(i, 0) + np.stack(unpack(blob)).astype(np.int64)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([pack(*x) for x in held.values()], pa.binary())], ["shard", "blob"])
 
@@ -364,6 +364,15 @@ class Totals:
     def __init__(self, customers, tables, root_customers, root_tables, size, discounts):
         self.customers, self.tables, self.root_customers, self.root_tables, self.size, self.discounts = customers, tables, root_customers, root_tables, size, discounts
 
+    def __getstate__(self) -> dict:
+        """Vectors travel compressed, as executors keep each broadcast on their disks."""
+        return self.__dict__ | {"customers": None, "tables": None, "vectors": pack(small(self.customers), small(self.tables))}
+
+    def __setstate__(self, state: dict) -> None:
+        vectors = state.pop("vectors")
+        self.__dict__ = state
+        self.customers, self.tables = (v.astype(np.int64) for v in unpack(vectors))
+
     def next_table(self, customers: np.ndarray, tables: np.ndarray, fewer: np.ndarray) -> Callable:
         """The parent's probability of a cell's table t + 1, after the cell's `fewer` tables left and t came back."""
         d = self.discounts[1]
@@ -517,7 +526,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
         n_slots += n
     context = docs.sparkSession.sparkContext
     where = docs.sparkSession.createDataFrame([(s, x) for s, xs in enumerate(slots) for x in xs], "shard long, slot long")
-    shared = context.broadcast([(t, (STRENGTH + t.discounts[0] * t.tables), 1.0 / (STRENGTH + t.customers)) for t in model.totals])
+    shared = context.broadcast(model.totals)
     n_train, n_words = model.numbers[0], model.numbers[1]
     parts = [(0, model.model), *enumerate(model.states, 1)]
     wanted = requests(docs, model.shards, slots, key)
@@ -542,13 +551,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             key = at[row] << CONTEXT_BITS | context
             cell = np.minimum(np.searchsorted(known["key"], key), len(known["key"]) - 1)
             hit = here[row] & (known["key"][cell] == key)
-        for k, (t, back, over) in enumerate(shared.value):
+        for k, t in enumerate(shared.value):
             none = t.root(np.zeros(1), np.zeros(1))[0]
             root = np.where(here, known["root"][k][at], none) if known else np.full(len(word), none)
-            p = back[context] * root[row]
+            p = (STRENGTH + t.discounts[0] * t.tables[context]) * root[row]
             if known:
                 p[hit] += known["seats"][k][cell[hit]]
-            chance += p * over[context]
+            chance += p / (STRENGTH + t.customers[context])
         log10 = np.log10(chance / len(shared.value))
         seen = np.where(here, known["total"][at], 0) if known else np.zeros(len(word))
         base = np.log10((seen + 0.1) / (n_train + 0.1 * (n_words + 1)))
@@ -574,7 +583,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                     del place, low, high
                 elif kind < REQUEST:
                     once, at, _, n, t, root = unpack(blob)
-                    totals = shared.value[kind - 1][0]
+                    totals = shared.value[kind - 1]
                     seats = np.full(len(known["key"]), 1 - totals.discounts[0])
                     seats[known["many"]] = n - totals.discounts[0] * t
                     known["seats"].append(seats)
