@@ -5,6 +5,10 @@ dimension, until every marginal is within TOLERANCE of its target.  A cell's rat
 the largest ratio, is the probability with which each of its documents is kept, by a hash of its id: the mixture then
 has the target marginals in expectation and no document is repeated.
 
+With a budget (a share of all tokens), the scale is the budget in place of the largest ratio: after each round calibrated
+weights are held to weight / budget, so that a small cell far below its target is kept whole and thins no other.  Targets
+that this bound puts out of reach are missed, and the sample then holds less than the budget by what they lack.
+
 Cases: null in a dimension is a value of its own; null or empty texts weigh nothing, and documents of cells without
 weight are kept with the largest ratio, 1.  Repeated rows share their id's draw; a row without an id draws by its text.
 mix replaces columns that have the names of its outputs; filter_documents keeps all columns as they are.  Targets that
@@ -36,10 +40,11 @@ def topic(tokens: Column) -> Column:
     return F.when(tokens < 100, "note").when(tokens < 400, "article").when(tokens < 2000, "report").otherwise("book")
 
 
-def rake(cells: DataFrame, tempers: dict[str, float] = TEMPERS, rounds: int = ROUNDS, targets: dict[str, dict] | None = None) -> DataFrame:
+def rake(cells: DataFrame, tempers: dict[str, float] = TEMPERS, rounds: int = ROUNDS, targets: dict[str, dict] | None = None, most: float | None = None) -> DataFrame:
     """cells (the dimensions and weight) with calibrated: weights whose marginals have the target shares.
 
-    targets: by dimension and value, shares that replace the tempered ones.  Cells are few against documents, but their
+    targets: by dimension and value, shares that replace the tempered ones.  most: calibrated weights are held to this
+    multiple of the weight after each round.  Cells are few against documents, but their
     number isn't bounded, so each step is a shuffle of cells; nothing is collected but the largest deviation.
     """
     total = cells.agg(F.sum("weight").cast("double").alias("__total"))
@@ -59,6 +64,8 @@ def rake(cells: DataFrame, tempers: dict[str, float] = TEMPERS, rounds: int = RO
         for d in tempers:
             sums = out.groupBy(d).agg(F.sum("calibrated").alias("__m"))
             out = out.join(sums, d).withColumn("calibrated", F.when(F.col("__m") > 0, F.col("calibrated") * (F.col(f"__t_{d}") * F.col("__total") / F.col("__m"))).otherwise(F.lit(0.0))).drop("__m")
+        if most is not None:
+            out = out.withColumn("calibrated", F.least("calibrated", F.col("weight") * F.lit(float(most))))
         out = cut(out)
         if (left := off(out, tempers)) <= TOLERANCE:
             break
@@ -81,17 +88,22 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], weight: Column, key: str = "doc_id", tempers: dict[str, float] = TEMPERS, rounds: int = ROUNDS, instead: Column | None = None, targets: dict[str, dict] | None = None) -> DataFrame:
+def mix(docs: DataFrame, dims: dict[str, Column], weight: Column, key: str = "doc_id", tempers: dict[str, float] = TEMPERS, rounds: int = ROUNDS, instead: Column | None = None, targets: dict[str, dict] | None = None, budget: float | None = None) -> DataFrame:
     """docs with the dimensions, weight, probability and kept.  targets: as of rake.
 
+    budget: the share of all weight that the sample should hold (above 0, at most 1); None: as much as lets every cell
+    have its ratio.
+
     Each row draws by its key, or by instead (the empty string if that is null, too) where it has none.
     """
     own = [c for c in docs.columns if c.lower() not in {*dims, "weight", "probability", "kept"} or c in dims]
     draw = uniform(F.coalesce(F.col(key).cast("string"), F.lit(None).cast("string") if instead is None else instead, F.lit("")))
     held = docs.select(*own, draw.alias("__draw")).withColumn("weight", weight).withColumns({d: F.coalesce(c.cast("string"), F.lit(NONE)) for d, c in dims.items()})
     cells = cut(held.groupBy(*dims).agg(F.sum("weight").alias("weight")))
-    raked = rake(cells, tempers, rounds, targets).withColumn("__r", F.when(F.col("weight") > 0, F.col("calibrated") / F.col("weight")))
-    top = raked.agg(F.max("__r").alias("__top"))
+    if budget is not None and not 0 < budget <= 1:
+        raise ValueError(f"a budget is a share above 0 and at most 1, not {budget}")
+    raked = rake(cells, tempers, rounds, targets, None if budget is None else 1 / budget).withColumn("__r", F.when(F.col("weight") > 0, F.col("calibrated") / F.col("weight")))
+    top = raked.agg((F.max("__r") if budget is None else F.lit(1 / budget)).alias("__top"))
     odds = raked.crossJoin(F.broadcast(top)).select(*dims, F.coalesce(F.col("__r") / F.col("__top"), F.lit(1.0)).alias("probability"))
     return (
         held.join(bounded(materialize(odds)), list(dims))  # cells are few, so that texts needn't move
@@ -101,13 +113,13 @@ def mix(docs: DataFrame, dims: dict[str, Column], weight: Column, key: str = "do
     )
 
 
-def document_mixture(docs: DataFrame) -> DataFrame:
-    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(n_tokens(F.col("text")))}, n_tokens(F.col("text")), instead=F.md5(F.col("text")))
+def document_mixture(docs: DataFrame, budget: float | None = None) -> DataFrame:
+    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(n_tokens(F.col("text")))}, n_tokens(F.col("text")), instead=F.md5(F.col("text")), budget=budget)
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
+def filter_documents(docs: DataFrame, budget: float | None = None) -> DataFrame:
     """The rows of docs that the mixture samples, with docs' own columns."""
-    return apart(docs, ("doc_id", "text", "source", "lang"), lambda own: document_mixture(own).where("kept"))
+    return apart(docs, ("doc_id", "text", "source", "lang"), lambda own: document_mixture(own, budget).where("kept"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
