@@ -74,18 +74,8 @@ BOX_MPC = 32.0
 @query("S08_gadget", "SELECT id AS row, x + 1 AS x, y + 1 AS y, z + 1 AS z, vx * 0.005e0 AS vx, vy * 0.005e0 AS vy, vz * 0.005e0 AS vz FROM halos", "halos")
 def s08(spark, d):
     """One Gadget file of the halos as dark matter, in kpc/h and km/s, read into grid units."""
-    import struct
-
-    import numpy as np
-
-    rows = view(spark, d, "halos").orderBy("id").select("x", "y", "z", "vx", "vy", "vz").toPandas().to_numpy("<f4")  # the fixture's file
-    head = struct.pack(snapshot.GADGET, 0, len(rows), 0, 0, 0, 0, *[0.0] * 6, A, 1.0, 0, 0, 0, len(rows), 0, 0, 0, 0, 0, 1, BOX_MPC * 1000, 0.3, 0.7, 0.7, b"").ljust(256, b"\0")
-    mark = lambda b: struct.pack("<i", len(b)) + b + struct.pack("<i", len(b))
     path = scratch(spark)
-    fs, base = snapshot.store(path)
-    fs.create_dir(base, recursive=True)
-    with fs.open_output_stream(f"{base}/gadget.0") as f:
-        f.write(mark(head) + mark(np.ascontiguousarray(rows[:, :3] * 1000).tobytes()) + mark(np.ascontiguousarray(rows[:, 3:]).tobytes()))
+    snapshot.write_gadget(view(spark, d, "halos"), path, A, BOX_MPC)
     return snapshot.read_gadget(spark, f"{path}/gadget.*", N).drop("file")
 
 
