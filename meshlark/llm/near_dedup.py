@@ -10,7 +10,8 @@
 3. BANDS keys of ROWS slots each, of each sketch, put nodes into buckets.  In a bucket all members are compared with its
    centre, the member with the most bucket company.  Components of these links come next, over all buckets; buckets that
    lie in one component are done.  Another round of centres follows while a round leaves half as much to compare or less;
-   then the members outside a bucket's largest component are compared with all its members, in blocks of bounded size.
+   then members of buckets with more than one component meet by their rarest shingles (prefix and length filters, which
+   lose no similar pair), and those of different components are compared, in blocks of bounded size.
    Pairs are never emitted, only verified links; similar members of a bucket always end in one component.
 4. Verified: at least 0.8 of the distinct shingles of both are common.  Classes are the connected components.
 
@@ -247,8 +248,66 @@ def star(state: DataFrame, turn: int) -> DataFrame:
     return rays.select("group", "node", F.lit(1).alias("side")).unionByName(rays.select("group", F.col("centre").alias("node"), F.lit(0).alias("side")).distinct())
 
 
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """texts (node, root, text) to (node, root, shingles): the distinct ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for s, doc, n in shingles(batch.column(2)):
+                s, doc, _ = weighted(s, doc)
+                offsets = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+                sets = pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), sets], ["node", "root", "shingles"])
+                at += n
+
+    return texts.select("node", "root", "text").mapInArrow(run, "node binary, root binary, shingles array<bigint>")
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(key, sets, node, root, n, most) of sets (node, root, shingles): the rarest shingles of each that others have, too.
+
+    Of a set of n these are among the n - ceil(least n) + 1 that the fewest sets have.  Alike sets have at least ceil(least n)
+    in common, for the n of either, so by one order of all shingles the first that they share is among the rarest of both.
+    Texts with as many shingles of their own meet none, however much else they share.  most: the size of the largest set
+    that can be alike if this shingle is the first that is shared, as no more than those after it can be shared then.
+    """
+    each = sets.select("node", F.explode("shingles").alias("key"))
+    shared = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+    known = each.join(bounded(shared), "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "key"))).alias("shared"))
+    own = sets.join(known, "node").withColumn("n", F.size("shingles")).withColumn("own", F.col("n") - F.size("shared"))
+    rarest = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1 - F.col("own")
+    at = own.select("node", "root", "n", "own", F.posexplode(F.slice("shared", 1, F.greatest(rarest, F.lit(0)))).alias("i", "x"))
+    most = (F.col("n") - F.col("own") - F.col("i")) * F.lit((1 + least) / least) - F.col("n") + 1e-6
+    return at.select("x.key", "x.sets", "node", "root", "n", most.alias("most"))
+
+
+def rest(texts: DataFrame, state: DataFrame, least: float) -> DataFrame:
+    """Wanted groups that hold all similar nodes of different components of the buckets of state (key, node, degree, root).
+
+    A node of several buckets counts once, and nodes meet by their rarest shingles, not by buckets, whose members all
+    look alike.  A node whose size rules out every member of another component goes; so the rows follow the nodes that are
+    left, not the squares of their buckets.
+    """
+    mixed = state.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    held = state.join(mixed, "key", "left_semi").select("node", "root").distinct()
+    placed = materialize(prefixes(materialize(shingle_sets(texts.join(bounded(materialize(held)), "node"))), least))
+    # of keys of the same nodes, none but the first is the first that two of them share
+    same = placed.groupBy("key", "sets").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
+    first = same.where("n > 1").groupBy("n", "sum").agg(F.min(F.struct("sets", "key"))["key"].alias("key")).select("key")
+    placed = materialize(placed.join(bounded(materialize(first)), "key"))
+    by_root = placed.groupBy("key", "root").agg(F.max("most").alias("most"), F.min("n").alias("n"))
+    ends = by_root.groupBy("key").agg(F.max(F.struct("most", "root")).alias("hi"), F.min(F.struct("n", "root")).alias("lo"))
+    others = [F.max(F.when(F.col("root") != F.col("hi.root"), F.col("most"))).alias("hi2"), F.min(F.when(F.col("root") != F.col("lo.root"), F.col("n"))).alias("lo2")]
+    ends = by_root.join(ends, "key").groupBy("key", "hi", "lo").agg(*others).where("hi2 IS NOT NULL")
+    near = placed.join(bounded(materialize(ends)), "key")
+    fits = F.col("n") <= F.when(F.col("root") == F.col("hi.root"), F.col("hi2")).otherwise(F.col("hi.most"))
+    fits &= F.col("most") >= F.when(F.col("root") == F.col("lo.root"), F.col("lo2")).otherwise(F.col("lo.n"))
+    return blocks(materialize(near.where(fits).select("key", "node", "root")))
+
+
 def blocks(state: DataFrame) -> DataFrame:
-    """Wanted groups: each bucket's members outside its largest component with all its members, in blocks of LEFT and RIGHT."""
+    """Wanted groups: each key's members outside its largest component with all its members, in blocks of LEFT and RIGHT."""
     size = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = size.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("size")).where("most < size")
     mixed = mixed.select("key", "main", F.ceil((F.col("size") - F.col("most")) / F.lit(LEFT * 0.8)).alias("lefts"), F.ceil(F.col("size") / F.lit(RIGHT * 0.8)).alias("rights"))
@@ -283,7 +342,7 @@ def class_roots(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
         if not left:
             return roots if roots is not None else state.select("node", "root").limit(0)
         last = before is not None and (left <= few or 2 * left > before)
-        more = materialize(compare(texts, blocks(state) if last else star(state, turn), least))
+        more = materialize(compare(texts, rest(texts, state, least) if last else star(state, turn), least))
         found = more if found is None else found.unionByName(more)
         roots = components(found)
         if last:

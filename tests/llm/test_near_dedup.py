@@ -107,3 +107,28 @@ def test_repeated_lines_part_no_pair(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + ("\n" + line) * 300) for i, t in enumerate(texts)]
     got = {x["doc_id"]: x["class_id"] for x in D.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows) == {i: i % 100 for i, _ in rows}
+
+
+def test_rows_compared_follow_the_size_of_a_bucket(spark, monkeypatch):
+    """Texts of one bucket that share a passage but are not alike, with some that are: all links, and no blocks of all pairs."""
+    r = random.Random(5)
+    passage = prose(88, 200)
+    rows = [(i, passage + " " + " ".join(f"own{i}x{j}" for j in range(r.randrange(30, 60)))) for i in range(400)]
+    rows += [(1000 + i, changed(rows[i][1], 2, r)) for i in range(0, 400, 40)]
+    seen, compare = [], D.compare
+
+    def counted(texts, wanted, least):
+        seen[-1] += wanted.count()
+        return compare(texts, wanted, least)
+
+    def one_bucket(docs, bands, size):
+        return D.materialize(docs.selectExpr("1L AS key", "node", "1L AS degree")), D.materialize(docs)
+
+    monkeypatch.setattr(D, "compare", counted)
+    monkeypatch.setattr(D, "buckets", one_bucket)
+    for n in (200, 400):
+        own = [x for x in rows if x[0] % 1000 < n]
+        seen.append(0)
+        got = {x["doc_id"]: x["class_id"] for x in D.classes(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+        assert got == brute(own) and len(set(got.values())) == n
+    assert seen[1] < 2.5 * seen[0]
