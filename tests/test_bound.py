@@ -30,7 +30,7 @@ def test_same_as_of_a_table(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
 
 
-@pytest.mark.parametrize("name", ["A09_moments", "H08_properties", "H09_axis_ratios"])
+@pytest.mark.parametrize("name", ["A09_moments", "H08_properties", "H09_axis_ratios", "H09_steepened_axes"])
 def test_pairs_do_not_leave_their_task(spark, sf_dir, monkeypatch, name):
     """Sums of bound members are made without a row a pair: no join of probes and points."""
     plans = []
