@@ -71,3 +71,20 @@ def test_one_block_and_either_wall(spark):
     got = H.shell_sums(halos, points, edges, 4.0).select("halo", "shell", "n", "mass").collect()
     want = H.members(halos, points, edges, 4.0).groupBy("halo", "shell").agg(Q.F.count("id").alias("n"), Q.F.sum("mass").alias("mass")).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+
+
+@pytest.mark.parametrize("part, rows", [(1 << 17, 1 << 17), (7, 50)])
+def test_members_leave_their_task_as_found(spark, sf_dir, monkeypatch, part, rows):
+    """No task hashes its points: members are found by blocks, whole or in parts, with all columns of a table of members."""
+    monkeypatch.setattr(H, "PART", part)
+    monkeypatch.setattr(H, "ROWS", rows)
+    halos, points = Q.view(spark, sf_dir, "halos").where(Q.F.col("m") > Q.LEAST), Q.points0(spark, sf_dir)
+    own = H.bound_members(halos, points, Q.EDGES, Q.BOX, Q.STRENGTH, 0.5)[0]
+    plan = own._jdf.queryExecution().toString()
+    assert "strategy=shuffle_hash" not in plan and "FlatMapGroupsInArrow" in plan
+    inside = Q.inside(spark, sf_dir).cache()
+    want = H.bound(inside, H.profiles(inside, Q.EDGES), Q.STRENGTH, 0.5).select(*H.MEMBER).collect()
+    got = own.select(*H.MEMBER).collect()
+    assert len(got) == len(want) > 0
+    for a, b in zip(sorted(map(tuple, got)), sorted(map(tuple, want)), strict=True):
+        assert a[:3] == b[:3] and all(abs(x - y) <= 1e-9 * max(1.0, abs(y)) for x, y in zip(a[3:], b[3:], strict=True))
