@@ -88,3 +88,25 @@ def test_members_leave_their_task_as_found(spark, sf_dir, monkeypatch, part, row
     assert len(got) == len(want) > 0
     for a, b in zip(sorted(map(tuple, got)), sorted(map(tuple, want)), strict=True):
         assert a[:3] == b[:3] and all(abs(x - y) <= 1e-9 * max(1.0, abs(y)) for x, y in zip(a[3:], b[3:], strict=True))
+
+
+@pytest.mark.parametrize("part, packed", [(1 << 17, 1 << 19), (300, 1000)])
+def test_points_are_shuffled_packed(spark, sf_dir, monkeypatch, part, packed):
+    """A row of points a task and block, of under half the bytes, with every point as it was."""
+    monkeypatch.setattr(H, "PART", part)
+    monkeypatch.setattr(H, "PACKED", packed)
+    points = Q.points0(spark, sf_dir)
+    odd = spark.createDataFrame([(-5, 1.5, 0.0, 31.5, -0.0, 1e300, 5e-324, 0.1), (7, 1.5, 0.0, 31.5, 1 / 3, float("inf"), -2.5, 3.0)], "id long, " + ", ".join(f"{c} double" for c in H.POINT))
+    points = points.select("id", *H.POINT).unionByName(odd)
+    pieces = H._blocks(Q.view(spark, sf_dir, "halos").select("id", *H.AXES), points, 12.0, Q.BOX, named=True)[1]
+    rows, all_ = pieces.toArrow(), points.count()
+    assert len(rows) < all_ / 100 and sum(rows.column("n").to_pylist()) == all_
+    assert sum(map(len, rows.column("points").to_pylist())) < all_ * 8 * 8 / 2
+    got, table = H._unpacked(rows, 8).view("int64"), points.toArrow()
+    want = [table.column(c).to_numpy().view("int64") for c in (*H.POINT, "id")]  # bit for bit
+    assert sorted(zip(*got.tolist(), strict=True)) == sorted(zip(*[x.tolist() for x in want], strict=True))
+
+
+def test_members_meet_packed_points(spark, sf_dir):
+    own = Q.bound(spark, sf_dir)
+    assert "MapInArrow" in own._jdf.queryExecution().toString()
